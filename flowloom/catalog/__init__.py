@@ -1,0 +1,13 @@
+"""Registered queries."""
+
+import importlib
+
+from flowloom.catalog.registry import ORACLES, QUERIES
+
+AREAS = ["expressions"]
+
+
+def load():
+    for area in AREAS:
+        importlib.import_module(f"flowloom.catalog.{area}")
+    return QUERIES, ORACLES
