@@ -4,7 +4,7 @@ import importlib
 
 from flowloom.catalog.registry import ORACLES, QUERIES
 
-AREAS = ["expressions"]
+AREAS = ["expressions", "graphs", "splitting"]
 
 
 def load():

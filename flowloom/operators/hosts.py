@@ -75,7 +75,7 @@ def time_since_contact(df: DataFrame, tie: list[str], first_contact: int = 86400
 
     def gap(prev, first):
         since = F.greatest(F.col("t") - F.col(prev), F.lit(0)).cast("double")
-        start = F.coalesce(since, F.lit(float(first_contact)))
+        start = F.when(F.col(prev).isNull(), float(first_contact)).otherwise(since)
         return F.when(order == F.col(first), start).otherwise(F.lit(0.0))
 
     rows = df.join(gaps, [*scope, "src_ip", "dst_ip", "t"])
