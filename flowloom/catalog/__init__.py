@@ -4,7 +4,7 @@ import importlib
 
 from flowloom.catalog.registry import ORACLES, QUERIES
 
-AREAS = ["expressions", "graphs", "splitting"]
+AREAS = ["expressions", "graphs", "splitting", "evaluation"]
 
 
 def load():

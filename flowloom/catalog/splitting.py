@@ -202,7 +202,7 @@ def _(spark, sf):
 RUNS = f"""ws AS (SELECT source_file, window_id, count(*) AS n, count(*) FILTER (y = 1) AS nt, count(*) FILTER (y = 0) AS nb FROM win GROUP BY 1, 2),
 wu AS (SELECT *, (n >= 8 AND nt > 0 AND nb > 0 AND window_id % 3 <> 0)::INT AS u FROM ws),
 rn AS (SELECT a.source_file, a.window_id AS first_window, b.window_id AS last_window, (SELECT sum(u) FROM wu c WHERE c.source_file = a.source_file AND c.window_id BETWEEN a.window_id AND b.window_id) AS usable_windows,
-  (SELECT sum(n) FROM wu c WHERE c.source_file = a.source_file AND c.window_id BETWEEN a.window_id AND b.window_id) AS n_rows FROM wu a JOIN wu b ON a.source_file = b.source_file AND b.window_id >= a.window_id AND b.window_id < a.window_id + 60)
+  (SELECT sum(n) FROM wu c WHERE c.source_file = a.source_file AND c.window_id BETWEEN a.window_id AND b.window_id) AS n_rows FROM wu a JOIN wu b ON a.source_file = b.source_file AND b.window_id >= a.window_id)
 SELECT source_file, first_window, last_window, usable_windows::BIGINT AS usable_windows, n_rows::BIGINT AS n_rows FROM rn WHERE n_rows <= 1500 AND usable_windows > 0
   QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY usable_windows DESC, n_rows, last_window, first_window DESC) = 1"""
 
@@ -214,7 +214,7 @@ def run_windows(spark, sf):
     return w.withColumn("usable", usable)
 
 
-@query("w12_best_run")
+@query("w12_best_run", "WITH " + windowed_sql() + ",\n" + RUNS)
 def _(spark, sf):
     return sampling.best_runs(run_windows(spark, sf), ["source_file"], 1500)
 

@@ -132,16 +132,14 @@ wt0 AS (SELECT min(t) AS t0 FROM clean)"""
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Flows with six class probabilities from fixed arithmetic on the keys."""
-    weights = [
-        F.lit(1.0) + ((F.col("k1") * (k + 3) + F.col("k2") * 7 + F.col("k3") * (2 * k + 1)) % 97)
-        + F.when(F.col("y") == k, 60.0).otherwise(0.0)
-        for k in range(6)
-    ]
-    base = windowed(spark, sf).withColumns({f"w{k}": w for k, w in enumerate(weights)})
-    total = sum((F.col(f"w{k}") for k in range(1, 6)), F.col("w0"))
-    out = base.withColumn("wsum", total)
-    return out.withColumn("probs", F.array(*[F.col(f"w{k}") / F.col("wsum") for k in range(6)])).drop(
-        *[f"w{k}" for k in range(6)], "wsum")
+    def weight(k):
+        mixed = (F.col("k1") * (k + 3) + F.col("k2") * 7 + F.col("k3") * (k * 2 + 1)) % 97
+        return F.lit(1.0) + mixed + F.when(F.col("y") == k, 60.0).otherwise(0.0)
+
+    rows = windowed(spark, sf).withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(5)), weight))
+    total = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
+    rows = rows.withColumn("ws", total)
+    return rows.withColumn("probs", F.transform("w", lambda x: x / F.col("ws"))).drop("w", "ws")
 
 
 def scored_sql() -> str:

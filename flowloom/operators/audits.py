@@ -85,3 +85,111 @@ def clock_verdicts(audit: DataFrame, file: str = "source_file") -> DataFrame:
     )
     verdict = F.when(F.col("mixed_days") > 0, "MIXED").when(F.col("moved_rows") > 0, "REPAIRED").otherwise("CLEAN")
     return rolled.withColumn("verdict", verdict)
+
+
+def feature_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, mean, std) over the given rows; population deviation."""
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
+    ]))
+    return df.select(cells.alias("c")).groupBy(F.col("c.column").alias("column")).agg(
+        F.avg("c.v").alias("mean"), F.stddev_pop("c.v").alias("std")
+    )
+
+
+def standardise(df: DataFrame, columns: list[str], train: DataFrame) -> DataFrame:
+    """z-scores with the training rows' moments, which are one row."""
+    stats = train.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = {c: (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-6) for c in columns}
+    return df.crossJoin(F.broadcast(stats)).withColumns(z).select(df.columns)
+
+
+def mixed_windows(df: DataFrame, min_flows: int = 8) -> DataFrame:
+    """Windows in all, and windows of enough flows that hold both benign and attack rows."""
+    per = df.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 0).alias("b"))
+    mixed = (F.col("n") >= min_flows) & (F.col("b") > 0) & (F.col("b") < F.col("n"))
+    return per.agg(F.count(F.lit(1)).alias("windows"), F.count_if(mixed).alias("mixed"))
+
+
+def label_bursts(df: DataFrame, keys: list[str], gap: int = 600, t: str = "t") -> DataFrame:
+    """(keys, n_rows, bursts): a burst ends when a label is silent for longer than the gap.
+    The lag runs over distinct seconds of a label in a file."""
+    seconds = df.groupBy(*keys, t).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy(t)
+    new = F.coalesce((F.col(t) - F.lag(t).over(order) > gap).cast("int"), F.lit(1))
+    return seconds.withColumn("_new", new).groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"), F.sum("_new").alias("bursts")
+    )
+
+
+def taxonomy_audit(bursts: DataFrame, taxonomy: DataFrame, raw: str = "label") -> DataFrame:
+    """Burst and row counts rolled up per taxonomy class; a raw label no map knows keeps its
+    own row with ``class`` null. ``taxonomy`` is the small label table."""
+    table = taxonomy.select("taxonomy", F.col("raw_label").alias(raw), F.col("label").alias("class"))
+    names = table.select("taxonomy").distinct()
+    every = bursts.crossJoin(F.broadcast(names))
+    joined = every.join(F.broadcast(table), ["taxonomy", raw], "left")
+    dropped = F.when(F.col("class").isNull(), F.col(raw))
+    return joined.groupBy("taxonomy", "class", dropped.alias("dropped_label")).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("bursts").alias("bursts")
+    )
+
+
+def missing_categories(bursts: DataFrame, required: list[str], raw: str = "label") -> DataFrame:
+    want = bursts.sparkSession.createDataFrame([(x,) for x in required], f"{raw} string")
+    return want.join(bursts.select(raw).distinct(), raw, "left_anti")
+
+
+def topology_audit(df: DataFrame, label: str = "label") -> DataFrame:
+    """Per class: flows, distinct ends and ports, and the source with most flows (the smaller
+    address on a tie)."""
+    wide = df.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n_flows"), F.count_distinct("src_ip").alias("n_src"),
+        F.count_distinct("dst_ip").alias("n_dst"), F.count_distinct("dst_port").alias("n_ports"),
+    )
+    per = df.groupBy(label, "src_ip").agg(F.count(F.lit(1)).alias("n"))
+    most = per.groupBy(label).agg(F.max("n").alias("n"))
+    top = per.join(most, [label, "n"]).groupBy(label).agg(F.min("src_ip").alias("top_source"))
+    return wide.join(top, label)
+
+
+def box_statistics(df: DataFrame, keys: list[str], columns: list[str], min_rows: int = 1) -> DataFrame:
+    """(keys, column, n, low, q1, median, q3, high) for groups with enough rows."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+    q = exact_percentiles(df, keys, columns, [0.0, 0.25, 0.5, 0.75, 1.0])
+    names = {0.0: "low", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "high"}
+    wide = q.groupBy(*keys, "column").agg(*[
+        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()
+    ])
+    return wide.join(sizes, keys)
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, corr) for every pair, all from one aggregate row."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)
+    ]))
+    return row.select(cells.alias("p")).select("p.*")
+
+
+def capped_histogram(df: DataFrame, column: str, bins: int = 50, cap: float = 0.99) -> DataFrame:
+    """Counts in equal bins between 0 and the cap quantile; larger values are left out."""
+    top = exact_percentiles(df, [], [column], [cap]).select(F.col("value").alias("_cap"))
+    rows = df.select(F.col(column).cast("double").alias("_v")).crossJoin(F.broadcast(top))
+    bucket = F.least(F.floor(F.col("_v") / F.col("_cap") * bins), F.lit(bins - 1)).cast("int")
+    return rows.where(F.col("_v") <= F.col("_cap")).groupBy(bucket.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_values(df: DataFrame, column: str, k: int = 20) -> DataFrame:
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "value").limit(k)
+
+
+def claim_check(computed: DataFrame, expected: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
+    """(keys, computed, expected, verdict): PASS, FAIL or NO DATA."""
+    both = computed.join(expected, keys, "full")
+    off = F.abs(F.col("computed") - F.col("expected")) > tolerance
+    verdict = F.when(F.col("computed").isNull(), "NO DATA").when(F.col("expected").isNull() | off, "FAIL").otherwise("PASS")
+    return both.withColumn("verdict", verdict)

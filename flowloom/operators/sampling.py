@@ -43,7 +43,7 @@ def best_runs(windows: DataFrame, keys: list[str], budget: int) -> DataFrame:
     }).withColumn("_start", F.col("_rows") - F.col("n"))
     # rows before the run >= rows up to its end - budget; every n is at least 1, so prefix
     # sums are distinct and order the windows
-    reach = Window.partitionBy(*keys).orderBy("_at")
+    reach = Window.partitionBy(*keys).orderBy(F.desc("_at"))
     starts = sums.where("usable").select(
         *keys, (F.col("_start")).alias("_at"), F.lit(0).alias("_kind"),
         F.struct(F.col("window_id").alias("w"), F.col("_start").alias("s"),
@@ -55,8 +55,8 @@ def best_runs(windows: DataFrame, keys: list[str], budget: int) -> DataFrame:
         F.lit(None).cast("struct<w:bigint,s:bigint,g:bigint>").alias("_from"),
         F.struct(F.col("window_id").alias("w"), F.col("_rows").alias("r"), F.col("_good").alias("g")).alias("_to"),
     )
-    first = F.first("_from", ignorenulls=True).over(
-        reach.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    first = F.last("_from", ignorenulls=True).over(
+        reach.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     both = starts.unionByName(ends).withColumn("_first", first)
     runs = both.where((F.col("_kind") == 1) & F.col("_first").isNotNull()).select(
