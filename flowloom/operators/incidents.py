@@ -1,6 +1,6 @@
 """Incidents, blocks, ledger states and triage."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.constants import NON_MODEL_LABELS
 
@@ -122,16 +122,14 @@ def first_incident_since(runs: DataFrame, incidents: DataFrame) -> DataFrame:
     both = real.select("source_ip", "_h", "_t", "_id", none.alias("_run")).unionByName(
         keyed.select("source_ip", "_h", "_t", F.lit(None).cast("bigint").alias("_id"), "_run")
     )
-    from pyspark.sql import Window
-
-    hit = F.when(F.col("_id").isNotNull(), F.struct("_t", "_id"))
-    # smallest incident id with t >= since: min over the rest of the hour
-    later = Window.partitionBy("source_ip", "_h").orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    inside = both.withColumn("_first", F.min(F.when(F.col("_id").isNotNull(), F.col("_id"))).over(later)).where(F.col("_run").isNotNull())
+    # smallest incident id with t >= since in the rest of the hour: a running minimum from
+    # the end of the hour backwards
+    later = Window.partitionBy("source_ip", "_h").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_first", F.min("_id").over(later)).where(F.col("_run").isNotNull())
     hours = real.groupBy("source_ip", "_h").agg(F.min("_id").alias("_m"))
     grid = hours.unionByName(keyed.groupBy("source_ip", "_h").agg(F.lit(None).cast("bigint").alias("_m")))
     grid = grid.groupBy("source_ip", "_h").agg(F.min("_m").alias("_m"))
-    after = Window.partitionBy("source_ip").orderBy("_h").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("source_ip").orderBy(F.desc("_h")).rowsBetween(Window.unboundedPreceding, -1)
     rest = grid.withColumn("_rest", F.min("_m").over(after)).select("source_ip", "_h", "_rest")
     return inside.join(rest, ["source_ip", "_h"], "left").select(
         "_run.*", F.least("_first", "_rest").alias("incident_id")
