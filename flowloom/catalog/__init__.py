@@ -4,7 +4,7 @@ import importlib
 
 from flowloom.catalog.registry import ORACLES, QUERIES
 
-AREAS = ["expressions", "graphs", "splitting", "evaluation", "operations"]
+AREAS = ["expressions", "graphs", "splitting", "evaluation", "operations", "models", "feeds"]
 
 
 def load():

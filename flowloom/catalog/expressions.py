@@ -159,6 +159,12 @@ def _(spark, sf):
     return clock.repair_clock(clock.parse_timestamps(raw_times(spark, sf), "timestamp")).select(*TIE, "moved", "ts")
 
 
+@query("w08_full_day_clock", with_sql(FLOWS, REPAIRED) + " SELECT day::VARCHAR AS day, is24 AS is_24h FROM d")
+def _(spark, sf):
+    parsed = clock.parse_timestamps(raw_times(spark, sf), "timestamp")
+    return clock.full_day_clock(parsed, "ts", "timestamp").withColumn("day", F.col("day").cast("string"))
+
+
 @query("x18_epoch_seconds", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events")
 def _(spark, sf):
     return table(spark, sf, "events").select("event_id", clock.epoch_seconds(F.col("ts")).alias("t"))
