@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from flowloom.catalog.registry import query
 from flowloom.catalog.tables import (
-    CLEAN, FLOWS, TIE, WEEK, clean, flows, ip_int_sql, table, token_sql, windowed, windowed_sql, with_sql,
+    CLEAN, FLOWS, SEQ, TIE, WEEK, clean, flows, ip_int_sql, table, token_sql, windowed, windowed_sql, with_sql,
 )
 from flowloom.functions import features
 from flowloom.operators import hosts
@@ -64,8 +64,8 @@ NODE_FEATURE_SQL = {
     "burst_score": "ln(1 + least((out_degree + in_degree) / greatest(mean_flows_before, 1), 1e6))",
 }
 
-DELTA_SQL = """dl AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY src_ip, dst_ip ORDER BY t, k1, k2, k3, k4, k5), 86400)::DOUBLE AS dt_pair,
-  coalesce(t - lag(t) OVER (PARTITION BY src_ip ORDER BY t, k1, k2, k3, k4, k5), 86400)::DOUBLE AS dt_src FROM win)"""
+DELTA_SQL = """dl AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY src_ip, dst_ip ORDER BY t, seq), 86400)::DOUBLE AS dt_pair,
+  coalesce(t - lag(t) OVER (PARTITION BY src_ip ORDER BY t, seq), 86400)::DOUBLE AS dt_src FROM win)"""
 PK = "(fwd_packets + bwd_packets + 1e-6::DOUBLE)"
 EDGE_FEATURE_SQL = {
     "log_duration_s": "ln(1 + greatest(duration_us / 1e6, 1e-3))", "log_total_packets": "ln(1 + fwd_packets + bwd_packets)",
@@ -99,7 +99,7 @@ def _(spark, sf):
 
 @query("w01_time_since_contact", "WITH " + WIN + ", " + DELTA_SQL + f" SELECT {K}, t, dt_pair, dt_src FROM dl")
 def _(spark, sf):
-    return hosts.time_since_contact(clean(spark, sf), TIE).select(*TIE, "t", "dt_pair", "dt_src")
+    return hosts.time_since_contact(clean(spark, sf), SEQ).select(*TIE, "t", "dt_pair", "dt_src")
 
 
 @query("w07_window_position", "WITH " + WIN + f" SELECT {K}, round({EDGE_FEATURE_SQL['window_position']}, 6) AS window_position FROM win, wt0")
@@ -111,7 +111,7 @@ def _(spark, sf):
 
 @query("x08_edge_features", "WITH " + WIN + ", " + DELTA_SQL + f" SELECT {K}, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in EDGE_FEATURE_SQL.items()) + " FROM dl, wt0")
 def _(spark, sf):
-    rows = hosts.time_since_contact(windowed(spark, sf), TIE)
+    rows = hosts.time_since_contact(windowed(spark, sf), SEQ)
     e = features.edge_features(F.col("window_start"), F.col("window_end"))
     return rows.select(*TIE, *[r(v, k) for k, v in e.items()])
 
@@ -184,7 +184,7 @@ def _(spark, sf):
 
 @query("g01_graph_nodes", "WITH " + NODE_SQL + " SELECT hn.window_id, '10.0.0.' || hn.host % 256 AS ip, " + ", ".join(f"round({NODE_FEATURE_SQL[k]}, 5) AS {k}" for k in ["dst_port_entropy", "reciprocity", "burst_score", "std_inter_flow_dt"]) + ", y FROM hn JOIN ny ON hn.window_id = ny.window_id AND hn.host = ny.host")
 def _(spark, sf):
-    nodes, _ = graph.build_graphs(clean(spark, sf), OPT, TIE)
+    nodes, _ = graph.build_graphs(clean(spark, sf), OPT, SEQ, ids=TIE)
     return nodes.select("window_id", "ip", *[r(F.col(c), c, 5) for c in ["dst_port_entropy", "reciprocity", "burst_score", "std_inter_flow_dt"]], "y")
 
 
@@ -192,21 +192,21 @@ def _(spark, sf):
   SELECT {K}, window_id, src, dst, dst_token, log_total_bytes, log_dt_since_pair, window_position, 1.0::DOUBLE AS direction_flag, true AS is_real FROM e
   UNION ALL SELECT {K}, window_id, dst, src, dst_token, log_total_bytes, log_dt_since_pair, window_position, 0.0::DOUBLE, false FROM e""")
 def _(spark, sf):
-    _, edges = graph.build_graphs(clean(spark, sf), OPT, TIE)
+    _, edges = graph.build_graphs(clean(spark, sf), OPT, SEQ, ids=TIE)
     return edges.select(*TIE, "window_id", "src", "dst", "dst_token", *[r(F.col(c), c) for c in ["log_total_bytes", "log_dt_since_pair", "window_position"]], "direction_flag", "is_real")
 
 
 @query("a06_graph_summary", "WITH " + NODE_SQL + """, n AS (SELECT window_id, count(*) AS c FROM nb GROUP BY 1), e AS (SELECT window_id, count(*) * 2 AS c FROM w8 GROUP BY 1)
   SELECT count(*) AS n_graphs, round(avg(n.c), 6) AS nodes_mean, max(n.c) AS nodes_max, round(avg(e.c), 6) AS edges_mean, max(e.c) AS edges_max FROM n JOIN e USING (window_id)""")
 def _(spark, sf):
-    nodes, edges = graph.build_graphs(clean(spark, sf), OPT, TIE)
+    nodes, edges = graph.build_graphs(clean(spark, sf), OPT, SEQ, ids=TIE)
     s = graph.graph_summary(nodes, edges)
     return s.withColumns({c: F.round(c, 6) for c in ["nodes_mean", "edges_mean"]})
 
 
 @query("a07_class_counts", "WITH " + NODE_SQL + " SELECT 'node' AS kind, y, count(*) AS n FROM ny GROUP BY 2 UNION ALL SELECT 'edge', y, count(*) FROM w8 GROUP BY 2")
 def _(spark, sf):
-    nodes, edges = graph.build_graphs(clean(spark, sf), OPT, TIE)
+    nodes, edges = graph.build_graphs(clean(spark, sf), OPT, SEQ, ids=TIE)
     return graph.class_counts(nodes, edges)
 
 

@@ -6,7 +6,7 @@ from flowloom.catalog.evaluation import rated, rounded
 from flowloom.catalog.expressions import live_extra
 from flowloom.catalog.graphs import K, NODE_SQL, OPT, r
 from flowloom.catalog.registry import query
-from flowloom.catalog.tables import CLEAN, FLOWS, LIVE, TIE, WEEK, clean, flows, live, scored_sql, table, windowed, windowed_sql, with_sql
+from flowloom.catalog.tables import CLEAN, FLOWS, LIVE, SEQ, TIE, WEEK, clean, flows, live, scored_sql, table, windowed, windowed_sql, with_sql
 from flowloom.constants import EDGE_FEATURES, NODE_FEATURES
 from flowloom.operators import hosts, metrics, openset, rules, studies
 from flowloom.plans import graph, tabular
@@ -22,7 +22,7 @@ FORWARD = WindowOptions(seconds=WEEK, add_reverse_edges=False)
 def _(spark, sf):
     c = clean(spark, sf).withColumn("part", F.when(F.col("source_file") <= "1998", 0).when(F.col("source_file") <= "1999", 1).otherwise(2))
     opt = WindowOptions(seconds=WEEK, min_edges=1)
-    nodes, _ = graph.build_graphs(c, opt, TIE, by=["part"], history=["part", "window_id"])
+    nodes, _ = graph.build_graphs(c, opt, SEQ, ids=TIE, by=["part"], history=["part", "window_id"])
     return nodes.select("part", "window_id", "ip", F.round(F.expm1("log_windows_seen")).cast("bigint").alias("windows_before"))
 
 
@@ -30,14 +30,14 @@ def _(spark, sf):
   h1 AS (SELECT h0.window_id, h0.host, coalesce((SELECT sum(s.a * w) / sum(w) FROM p JOIN h0 s ON s.window_id = p.window_id AND s.host = p.src WHERE p.window_id = h0.window_id AND p.dst = h0.host), 0) AS a, coalesce((SELECT sum(s.b * w) / sum(w) FROM p JOIN h0 s ON s.window_id = p.window_id AND s.host = p.src WHERE p.window_id = h0.window_id AND p.dst = h0.host), 0) AS b FROM h0)
   SELECT h1.window_id, h1.host, round(coalesce((SELECT sum(s.a * w) / sum(w) FROM p JOIN h1 s ON s.window_id = p.window_id AND s.host = p.src WHERE p.window_id = h1.window_id AND p.dst = h1.host), 0), 5) AS log_out_degree, round(coalesce((SELECT sum(s.b * w) / sum(w) FROM p JOIN h1 s ON s.window_id = p.window_id AND s.host = p.src WHERE p.window_id = h1.window_id AND p.dst = h1.host), 0), 5) AS dst_port_entropy FROM h1""")
 def _(spark, sf):
-    nodes, edges = graph.build_graphs(clean(spark, sf), FORWARD, TIE)
+    nodes, edges = graph.build_graphs(clean(spark, sf), FORWARD, SEQ, ids=TIE)
     nodes = materialize(nodes.select("window_id", "host", "log_out_degree", "dst_port_entropy"), "nodes")
     m = tabular.neighbour_mean(nodes, edges, ["log_out_degree", "dst_port_entropy"], 2)
     return m.select("window_id", "host", r(F.col("log_out_degree"), "log_out_degree", 5), r(F.col("dst_port_entropy"), "dst_port_entropy", 5))
 
 
 def tabular_rows(spark, sf):
-    nodes, edges = graph.build_graphs(clean(spark, sf), FORWARD, TIE)
+    nodes, edges = graph.build_graphs(clean(spark, sf), FORWARD, SEQ, ids=TIE)
     rows = rules.tabular_rows(edges, nodes, EDGE_FEATURES, NODE_FEATURES, ids=TIE)
     names = [*EDGE_FEATURES, *[f"src_{f}" for f in NODE_FEATURES], *[f"dst_{f}" for f in NODE_FEATURES]]
     return materialize(rows, "tabular"), names
@@ -112,7 +112,7 @@ def _(spark, sf):
 @query("g06_zeroed_features", "WITH " + windowed_sql() + " SELECT count(*) AS n, 0.0::DOUBLE AS volume, 0.0::DOUBLE AS one_out, 0::BIGINT AS tokens, true AS rest FROM win")
 def _(spark, sf):
     from flowloom.constants import VOLUMETRIC_FEATURES
-    _, e = graph.build_graphs(clean(spark, sf), FORWARD, TIE)
+    _, e = graph.build_graphs(clean(spark, sf), FORWARD, SEQ, ids=TIE)
     z = studies.without_tokens(studies.leave_one_out(studies.without_edge_features(e, VOLUMETRIC_FEATURES), "log_total_bytes"))
     return z.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("log_bytes_per_s") + F.col("log_packets_per_s")).alias("volume"), F.sum("log_total_bytes").alias("one_out"),
                  F.sum(F.col("dst_token") + F.col("src_token") + F.col("protocol_token")).alias("tokens"), (F.sum("log_total_packets") > 0).alias("rest"))
@@ -125,7 +125,7 @@ def _(spark, sf):
 
 @query("g07_degraded_edges", "WITH " + windowed_sql() + " SELECT count(*) AS n, count(*)::DOUBLE AS ones, 0.0::DOUBLE AS zeros FROM win")
 def _(spark, sf):
-    _, e = graph.build_graphs(clean(spark, sf), FORWARD, TIE)
+    _, e = graph.build_graphs(clean(spark, sf), FORWARD, SEQ, ids=TIE)
     d = studies.degrade_edges(e)
     return d.agg(F.count(F.lit(1)).alias("n"), F.sum("fwd_packet_ratio").alias("ones"), F.sum(F.col("syn_ratio") + F.col("iat_burstiness")).alias("zeros"))
 

@@ -8,7 +8,7 @@ from flowloom.catalog.evaluation import rated, rounded
 from flowloom.catalog.graphs import K, r
 from flowloom.catalog.registry import query
 from flowloom.catalog.tables import (
-    ACTIONS, CLASSES, CLEAN, FLOWS, HEURISTIC_SQL, INCIDENTS, LEDGER, LIVE, LIVE_SCORED, TIE, actions, clean, flows,
+    ACTIONS, CLASSES, CLEAN, FLOWS, HEURISTIC_SQL, INCIDENTS, LEDGER, LIVE, LIVE_SCORED, SEQ, TIE, actions, clean, flows,
     incidents, ip_int_sql, ledger, live, live_scored, scored_sql, table, windowed, windowed_sql, with_sql,
 )
 from flowloom.functions import scoring
@@ -558,6 +558,6 @@ def _(spark, sf):
     from flowloom.plans import graph
     from flowloom.settings import WindowOptions
     from flowloom.catalog.tables import WEEK
-    nodes, edges = graph.build_graphs(clean(spark, sf), WindowOptions(seconds=WEEK, add_reverse_edges=False), TIE)
+    nodes, edges = graph.build_graphs(clean(spark, sf), WindowOptions(seconds=WEEK, add_reverse_edges=False), SEQ, ids=TIE)
     rows = rules.tabular_rows(edges, nodes, EDGE_FEATURES, NODE_FEATURES, ids=TIE)
     return rows.select(*TIE, "window_id", r(F.col("log_total_bytes"), "log_total_bytes"), r(F.col("src_dst_port_entropy"), "src_dst_port_entropy", 5), r(F.col("dst_log_in_degree"), "dst_log_in_degree", 5))

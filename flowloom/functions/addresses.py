@@ -7,16 +7,15 @@ from pyspark.sql import Column, functions as F
 FULL_MASK = 0xFFFFFFFF
 
 
-def _octet(text: Column, i: int) -> Column:
-    part = F.get(F.split(text, r"\."), F.lit(i))
-    return F.coalesce(part.try_cast("bigint"), F.lit(0))
-
-
 def ipv4_to_int(ip: Column) -> Column:
-    """Dotted quad as an unsigned 32-bit value in a long; text without four parts is 0
-    and an octet that is not a number counts as 0."""
-    value = sum((_octet(ip, i) * (1 << (24 - 8 * i)) for i in range(1, 4)), _octet(ip, 0) * (1 << 24))
-    return F.when(F.size(F.split(ip, r"\.")) >= 4, value).otherwise(F.lit(0).cast("bigint"))
+    """Dotted quad as an unsigned 32-bit value in a long; text without four parts is 0 and an
+    octet that is not a number counts as 0. The text is split once per row."""
+    def fold(parts):
+        step = lambda acc, part: acc * 256 + F.coalesce(part.try_cast("bigint"), F.lit(0).cast("bigint"))
+        value = F.aggregate(F.slice(parts, 1, 4), F.lit(0).cast("bigint"), step)
+        return F.when(F.size(parts) >= 4, value).otherwise(F.lit(0).cast("bigint"))
+
+    return F.get(F.transform(F.array(F.split(ip, r"\.")), fold), F.lit(0))
 
 
 def int_to_ipv4(value: Column) -> Column:

@@ -17,7 +17,10 @@ def port_token(port: Column) -> Column:
     """Named ports have their own token, all others share one per range bucket."""
     number = port.try_cast("double")
     whole = F.floor(number).cast("int")
-    named = _lookup({p: PORT_FIRST_TOKEN + i for i, p in enumerate(NAMED_PORTS)})[whole]
+    # tokens follow port order, so a search in a constant array is the lookup; a map literal
+    # of this size would be unrolled into one branch per port
+    at = F.array_position(F.array(*[F.lit(p) for p in NAMED_PORTS]), whole).cast("int")
+    named = F.when(at > 0, at + (PORT_FIRST_TOKEN - 1))
     base = PORT_FIRST_TOKEN + len(NAMED_PORTS)
     reached = [(whole >= edge).cast("int") for edge in PORT_BUCKET_EDGES[1:-1]]
     bucket = sum(reached, F.lit(base))

@@ -62,7 +62,8 @@ def time_since_contact(df: DataFrame, tie: list[str], first_contact: int = 86400
     ``scope`` restarts the gaps (for example per window or per split).
     """
     scope = list(scope)
-    order = F.struct(*tie)
+    # one numeric tie column keeps the aggregate in generated hash code
+    order = F.col(tie[0]) if len(tie) == 1 else F.struct(*tie)
     pairs = df.groupBy(*scope, "src_ip", "dst_ip", "t").agg(F.min(order).alias("_pair_first"))
     sources = pairs.groupBy(*scope, "src_ip", "t").agg(F.min("_pair_first").alias("_src_first"))
 
@@ -151,11 +152,12 @@ def inter_flow_times(df: DataFrame, group: list[str], t: str = "t") -> DataFrame
 def node_block(edges: DataFrame, keys: list[str] = ("window_id",)) -> DataFrame:
     """One row per (window, host) with every sum the node features need.
 
-    ``edges`` has src, dst, dst_token, total_bytes and t. The flow table is shuffled once,
-    down to (window, src, dst, token, second) counts; the rest works on aggregates.
+    ``edges`` has src, dst, dst_token, total_bytes and t. Flows are combined to
+    (window, src, dst, token) and (window, src, second) counts before they are shuffled; the
+    rest works on those.
     """
     keys = list(keys)
-    fine = edges.groupBy(*keys, "src", "dst", "dst_token", "t").agg(
+    pairs = edges.groupBy(*keys, "src", "dst", "dst_token").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_bytes").alias("b")
     )
     views = F.array(
@@ -166,7 +168,6 @@ def node_block(edges: DataFrame, keys: list[str] = ("window_id",)) -> DataFrame:
         F.struct(F.col("dst").alias("host"), F.lit("peer_in").alias("view"),
                  F.col("src").cast("string").alias("value")),
     )
-    pairs = fine.groupBy(*keys, "src", "dst", "dst_token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     seen = pairs.select(*keys, F.explode(views).alias("v"), "n", "b").select(*keys, "v.*", "n", "b")
     counts = seen.groupBy(*keys, "host", "view", "value").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     sizes = counts.groupBy(*keys, "host", "view", "n").agg(
@@ -199,7 +200,7 @@ def node_block(edges: DataFrame, keys: list[str] = ("window_id",)) -> DataFrame:
         .where("answered").groupBy(*keys, F.col("src").alias("host"))
         .agg(F.sum("n").alias("answered_flows"))
     )
-    seconds = fine.groupBy(*keys, "src", "t").agg(F.sum("n").alias("n"))
+    seconds = edges.groupBy(*keys, "src", "t").agg(F.count(F.lit(1)).alias("n"))
     gap = F.col("t") - F.lag("t").over(Window.partitionBy(*keys, "src").orderBy("t"))
     timing = (
         seconds.withColumn("_gap", F.coalesce(gap, F.lit(0)).cast("double"))

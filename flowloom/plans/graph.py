@@ -8,30 +8,35 @@ from flowloom.functions.ports import port_token, protocol_token
 from flowloom.operators import hosts
 from flowloom.operators.cleaning import zero_features
 from flowloom.settings import WindowOptions
-from flowloom.workspace import materialize
+from flowloom.workspace import checked_broadcast, materialize
 
 
 def window_edges(
     flows: DataFrame, options: WindowOptions, tie: list[str], by: list[str] = ()
 ) -> DataFrame:
     """Flows with gaps, window, node ids and tokens; windows under the minimum are gone."""
-    timed = hosts.time_since_contact(flows, tie, scope=by)
-    if options.stride and options.stride != options.seconds:
-        placed = hosts.assign_sliding_windows(timed, options.seconds, options.stride)
-    else:
-        placed = hosts.assign_windows(timed, options.seconds, by=list(by), anchor=options.anchor)
+    sliding = options.stride and options.stride != options.seconds
 
+    def place(df):
+        if sliding:
+            return hosts.assign_sliding_windows(df, options.seconds, options.stride)
+        return hosts.assign_windows(df, options.seconds, by=list(by), anchor=options.anchor)
+
+    # window sizes come from the time column alone, before the wide rows are touched
+    sizes = place(flows.select(*by, "t")).groupBy(*by, "window_id").agg(F.count(F.lit(1)).alias("_n"))
+    full = checked_broadcast(sizes.where(F.col("_n") >= options.min_edges).drop("_n"), "full-windows")
     def node(ip):
         value = ipv4_to_int(F.col(ip))
         return subnet_key(value, options.subnet_prefix) if options.subnet_prefix else value
 
-    edges = placed.withColumns({
+    # ids and tokens are made in the scan stage, and only they travel through the shuffles
+    coded = flows.withColumns({
         "src": node("src_ip"), "dst": node("dst_ip"),
         "src_token": port_token(F.col("src_port")), "dst_token": port_token(F.col("dst_port")),
         "protocol_token": protocol_token(F.col("protocol")),
         "total_bytes": F.coalesce(F.col("fwd_bytes"), F.lit(0.0)) + F.coalesce(F.col("bwd_bytes"), F.lit(0.0)),
     })
-    return hosts.keep_full_windows(edges, options.min_edges, [*by, "window_id"])
+    return place(hosts.time_since_contact(coded, tie, scope=by)).join(full, [*by, "window_id"], "left_semi")
 
 
 def build_nodes(edges: DataFrame, by: list[str] = (), history: list[str] = ("window_id",)) -> DataFrame:
@@ -71,14 +76,14 @@ def cap_edges(edges: DataFrame, cap: int, tie: list[str], keys: list[str], seed:
     return whole.unionByName(partial).drop("_h", "_b", "_n", "_room")
 
 
-def build_edges(edges: DataFrame, options: WindowOptions, tie: list[str], by: list[str] = ()) -> DataFrame:
+def build_edges(edges: DataFrame, options: WindowOptions, ids: list[str], by: list[str] = ()) -> DataFrame:
     keys = [*by, "window_id"]
     sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     oversized = not sizes.where(F.col("_n") > options.max_edges).isEmpty()
-    capped = cap_edges(edges, options.max_edges, tie, keys, options.seed) if oversized else edges
+    capped = cap_edges(edges, options.max_edges, ids, keys, options.seed) if oversized else edges
     features = edge_features(F.col("window_start"), F.col("window_end"))
     real = capped.select(
-        *keys, *[F.col(c) for c in tie], "src", "dst", "src_token", "dst_token", "protocol_token",
+        *keys, *[F.col(c) for c in ids], "src", "dst", "src_token", "dst_token", "protocol_token",
         "y", *[v.alias(k) for k, v in features.items()], F.lit(True).alias("is_real"),
     )
     real = zero_features(real, list(options.drop_edge_features))
@@ -98,11 +103,12 @@ def build_edges(edges: DataFrame, options: WindowOptions, tie: list[str], by: li
 
 def build_graphs(
     flows: DataFrame, options: WindowOptions, tie: list[str], by: list[str] = (),
-    history: list[str] = ("window_id",),
+    history: list[str] = ("window_id",), ids: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). The windowed edge table is written once: nodes and edges both read it."""
+    """(nodes, edges). ``tie`` orders flows of the same second, ``ids`` (by default the same
+    columns) identify a flow in the edge table. The windowed edge table is written once: nodes and edges both read it."""
     base = materialize(window_edges(flows, options, tie, by), "window-edges")
-    return build_nodes(base, by, history), build_edges(base, options, tie, by)
+    return build_nodes(base, by, history), build_edges(base, options, ids or tie, by)
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, keys: list[str] = ("window_id",)) -> DataFrame:

@@ -8,7 +8,7 @@ session names in ``spark.checkpoint.dir`` and reads it back.
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, name: str, max_rows: int = 2_000_000) -> DataFrame:
+    """A narrow lookup table, written once and counted. It is broadcast only when it has at
+    most ``max_rows`` rows; a larger one is joined by shuffle."""
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def drop_working_tables(spark: SparkSession) -> None:
     """Delete every working table this application wrote."""
     jvm = spark.sparkContext._jvm
