@@ -188,7 +188,7 @@ def _(spark, sf):
     return nodes.select("window_id", "ip", *[r(F.col(c), c, 5) for c in ["dst_port_entropy", "reciprocity", "burst_score", "std_inter_flow_dt"]], "y")
 
 
-@query("g01_graph_edges", "WITH " + WIN + ", " + DELTA_SQL + f""", e AS (SELECT *, {", ".join(f"round({EDGE_FEATURE_SQL[k]}, 6) AS {k}" for k in ["log_total_bytes", "log_dt_since_pair", "window_position"])} FROM dl, wt0)
+@query("g01_graph_edges", "WITH " + WIN + ", " + DELTA_SQL + f""", e AS (SELECT *, {", ".join(f"round({EDGE_FEATURE_SQL[k]}, 6) AS {k}" for k in ["log_total_bytes", "log_dt_since_pair", "window_position"])} FROM dl, wt0 QUALIFY count(*) OVER (PARTITION BY window_id) >= 8)
   SELECT {K}, window_id, src, dst, dst_token, log_total_bytes, log_dt_since_pair, window_position, 1.0::DOUBLE AS direction_flag, true AS is_real FROM e
   UNION ALL SELECT {K}, window_id, dst, src, dst_token, log_total_bytes, log_dt_since_pair, window_position, 0.0::DOUBLE, false FROM e""")
 def _(spark, sf):
