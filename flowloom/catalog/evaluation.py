@@ -205,9 +205,9 @@ def _(spark, sf):
     return rounded(audits.standardise(c, ["fwd_packets"], c.where("k1 % 3 = 0")).select(*TIE, "fwd_packets"))
 
 
-@query("a43_mixed_windows", "WITH " + windowed_sql() + ", p AS (SELECT window_id, count(*) AS n, count(*) FILTER (y = 0) AS b FROM win WHERE k1 % 9 = 0 GROUP BY 1) SELECT count(*) AS windows, count(*) FILTER (n >= 8 AND b > 0 AND b < n) AS mixed FROM p")
+@query("a43_mixed_windows", "WITH " + windowed_sql() + ", p AS (SELECT window_id, count(*) AS n, count(*) FILTER (y = 0) AS b FROM win GROUP BY 1) SELECT count(*) AS windows, count(*) FILTER (n >= 8 AND b > 0 AND b < n) AS mixed FROM p")
 def _(spark, sf):
-    return audits.mixed_windows(windowed(spark, sf).where("k1 % 9 = 0"))
+    return audits.mixed_windows(windowed(spark, sf))
 
 
 @query("a44_prediction_changes", S + """, z AS (SELECT y, pred, p0, p1, p2, p3, p4, p5, CASE WHEN p1 >= greatest(p2, p3, p4, p5) THEN 1 WHEN p2 >= greatest(p3, p4, p5) THEN 2 WHEN p3 >= greatest(p4, p5) THEN 3 WHEN p4 >= p5 THEN 4 ELSE 5 END AS pb FROM scored)

@@ -343,11 +343,11 @@ def _(spark, sf):
     return m.withColumn("display_status", inc.ledger_display_status()).select("id", "ledger_match", "display_status")
 
 
-@query("j14_status_overlay", BASE + ", " + HOSTS + """, al AS (SELECT source_ip AS ip, bool_or(threat_score >= 0.75 AND NOT is_blocked AND id % 90 = 1) AS attacking, bool_or(threat_score >= 0.5 AND threat_score < 0.75 AND id % 90 = 1) AS infected FROM inc WHERE id % 90 = 1 GROUP BY 1),
+@query("j14_status_overlay", BASE + ", " + HOSTS + """, al AS (SELECT source_ip AS ip, bool_or(threat_score >= 0.75 AND NOT is_blocked ) AS attacking, bool_or(threat_score >= 0.5 AND threat_score < 0.75) AS infected FROM inc GROUP BY 1),
   ov AS (SELECT unnest(['10.0.0.3', '10.0.0.4']) AS ip, unnest(['normal', 'suspicious']) AS st)
   SELECT host.ip, CASE WHEN st = 'normal' THEN status WHEN st IS NOT NULL THEN st WHEN blk.ip IS NOT NULL AND host.ip <> '10.0.0.9' THEN 'isolated' WHEN attacking THEN 'attacking' WHEN infected THEN 'infected' ELSE status END AS status FROM host LEFT JOIN al USING (ip) LEFT JOIN ov USING (ip) LEFT JOIN blk ON blk.ip = host.ip""")
 def _(spark, sf):
-    alerts = incidents(spark, sf).where("id % 90 = 1").withColumn("severity", scoring.severity_label(F.col("threat_score")))
+    alerts = incidents(spark, sf).withColumn("severity", scoring.severity_label(F.col("threat_score")))
     b = blocked(spark, sf)
     events = b.where("ip <> '10.0.0.9'")
     over = spark.createDataFrame([("10.0.0.3", "normal"), ("10.0.0.4", "suspicious")], "ip string, status string")
@@ -361,11 +361,11 @@ def _(spark, sf):
     return inc.first_incident_since(runs, i).select("run_id", F.col("incident_id").cast("double").alias("incident_id"))
 
 
-@query("j16_scaffold_links", with_sql(FLOWS) + ", h AS (SELECT DISTINCT src_ip AS ip FROM flows), l AS (SELECT DISTINCT src_ip AS source, CASE WHEN k1 % 2 = 0 THEN 's1' ELSE dst_ip END AS target FROM flows WHERE k1 < 200) SELECT source, target FROM l UNION (SELECT ip, 's1' FROM h) UNION SELECT 's1', 'c0'")
+@query("j16_scaffold_links", with_sql(FLOWS) + ", h AS (SELECT DISTINCT src_ip AS ip FROM flows), l AS (SELECT DISTINCT src_ip AS source, CASE WHEN k1 % 2 = 0 THEN 's1' ELSE dst_ip END AS target FROM flows) SELECT source, target FROM l UNION (SELECT ip, 's1' FROM h) UNION SELECT 's1', 'c0'")
 def _(spark, sf):
     f = flows(spark, sf)
     hosts = f.select(F.col("src_ip").alias("ip")).distinct()
-    links = f.where("k1 < 200").select(F.col("src_ip").alias("source"), F.when(F.col("k1") % 2 == 0, "s1").otherwise(F.col("dst_ip")).alias("target")).distinct()
+    links = f.select(F.col("src_ip").alias("source"), F.when(F.col("k1") % 2 == 0, "s1").otherwise(F.col("dst_ip")).alias("target")).distinct()
     return views.with_scaffold(hosts, links)[1]
 
 
