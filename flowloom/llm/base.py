@@ -30,3 +30,9 @@ def byte_views(column: pa.Array) -> list[memoryview]:
     ends = memoryview(column.buffers()[1]).cast("q")[column.offset : column.offset + len(column) + 1]
     data = memoryview(column.buffers()[2] or b"")
     return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a working table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -6,18 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.base import table
+from flowloom.llm.simhash import simhash_groups
 from flowloom.llm.token_cache import token_counts
+from flowloom.llm.token_files import read_tokens, write_tokens
 from flowloom.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    files = write_tokens(table(spark, sf_dir, "documents"), folder, BYTE_BPE, end_id=2)
+    return read_tokens(files, folder)
+
+
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECE_BPE, new_path(spark, "counts"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op5_simhash_groups": op5_simhash_groups,
     "op9_token_counts": op9_token_counts,
 }
 

@@ -97,20 +97,28 @@ def token_counts(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count, seen = counter(tokenizer), set()  # rows may repeat with their id
         for batch in batches:
-            numbers = count(batch.column(1).to_pylist()) if batch.num_rows else []
+            new = {}
+            for digest, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest not in seen:
+                    seen.add(digest)
+                    new[digest] = content.as_py()
+            numbers = count(list(new.values())) if new else []
             yield pa.record_batch(
-                [batch.column(0), pa.array(numbers, pa.int64())], names=["digest", "n_tokens"]
+                [pa.array(list(new), pa.string()), pa.array(numbers, pa.int64())],
+                names=["digest", "n_tokens"],
             )
 
     encoded = (
         wanted.select("digest", "_text").mapInArrow(encode, "digest string, n_tokens bigint")
-        .select("digest", F.lit(version).alias("version"), "n_tokens")
+        .dropDuplicates(["digest"]).select("digest", F.lit(version).alias("version"), "n_tokens")
     )
     encoded.write.mode("append").parquet(cache)
+    # A written table: the join then shuffles both sides itself and can split a hot digest.
+    counts = materialize(read_cache(spark, cache, version), "counts")
     return (
-        keyed.join(read_cache(spark, cache, version), "digest", "left")
+        keyed.join(counts, "digest", "left")
         .select(
             F.col("_id").alias(id_col), "n_bytes", "n_tokens",
             (F.col("n_tokens") > limit).alias("over_limit"),
