@@ -36,3 +36,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a working table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of steps whose results are now written tables.
+    It acts when the driver's garbage is collected, which a quiet driver may put off for long."""
+    spark.sparkContext._jvm.System.gc()

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.base import table
+from flowloom.llm.repeats import remove_repeats
 from flowloom.llm.simhash import simhash_groups
 from flowloom.llm.token_cache import token_counts
 from flowloom.llm.token_files import read_tokens, write_tokens
@@ -21,6 +22,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(files, folder)
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op4_repeated_bytes": op4_repeated_bytes,
     "op5_simhash_groups": op5_simhash_groups,
     "op9_token_counts": op9_token_counts,
 }
