@@ -3,11 +3,12 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm.base import table
 from flowloom.llm.repeats import remove_repeats
 from flowloom.llm.simhash import simhash_groups
+from flowloom.llm import toxicity
 from flowloom.llm.token_cache import token_counts
 from flowloom.llm.token_files import read_tokens, write_tokens
 from flowloom.workspace import new_path
@@ -30,6 +31,19 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def training_fold(labels: DataFrame) -> DataFrame:
+    """Labels that may be learnt from; the others are held out."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, training_fold(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.withColumn("held_out", held_out)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECE_BPE, new_path(spark, "counts"))
 
@@ -38,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_repeated_bytes": op4_repeated_bytes,
     "op5_simhash_groups": op5_simhash_groups,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
 }
 
