@@ -34,14 +34,15 @@ def components(links: DataFrame) -> DataFrame:
     is not the least of its component, whose least node is ``root``. Self links and repeated
     links change nothing; rows with a null end are ignored; no links give no rows."""
     spark = links.sparkSession
-    links = links.select("u", "v").where(F.col("u") != F.col("v"))
-    previous, path = None, None
+    # Written first, so that what makes the links runs once.
+    previous, path = None, new_path(spark, "links")
+    links.select("u", "v").where(F.col("u") != F.col("v")).distinct().write.parquet(path)
+    links = spark.read.parquet(path)
     while True:
         old, path = path, new_path(spark, "links")
         _star(_star(links, True), False).write.parquet(path)
         links = spark.read.parquet(path)
-        if old:
-            drop_path(spark, old)
+        drop_path(spark, old)
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == previous or not state[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

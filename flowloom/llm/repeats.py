@@ -287,20 +287,20 @@ def remove_repeats(
         .select("_id", "place"),
         "covered-anchors",
     )
+    release(docs.sparkSession)
     openings = (
         shared.where(~own).join(parts.join(split, "gram", "left_semi"), ["gram", "span"])
         .where(F.col("_id") == F.col("_first")).select("_id", "place")
     )
 
-    # Round 2: single windows where a bucket was split.
+    # Round 2: single windows where a bucket was split. Up to the result this is one query, so
+    # that the texts are shuffled by row once and that shuffle serves every join with them.
     listed = openings.groupBy("_id", tag_of).agg(F.collect_list("place").alias("_places"))
-    windows = materialize(
+    windows = (
         texts.join(listed.hint("shuffle_hash"), ["_id", "_tag"])
         .select("_id", "_tag", "_text", "_places")
-        .mapInArrow(_windows(length), "key bigint, _id bigint, place bigint"),
-        "windows",
+        .mapInArrow(_windows(length), "key bigint, _id bigint, place bigint")
     )
-    release(docs.sparkSession)
     first = windows.groupBy("key").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where(
         F.col("_n") > 1
     )

@@ -246,7 +246,7 @@ def simhash_groups(
         .repartition("key", "part", "value").sortWithinPartitions("key", "part", "value", "_fp")
         .mapInArrow(_compare(radius), "u bigint, v bigint")
     )
-    roots = components(pairs.distinct()).withColumnRenamed("node", "_fp")
+    roots = components(pairs).withColumnRenamed("node", "_fp")
     placed = prints.join(roots, "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
     least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
     by_print = placed.join(least, "root").select("_fp", "component_id")
