@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm.base import table
+from flowloom.llm.decontamination import contaminations
 from flowloom.llm.repeats import remove_repeats
 from flowloom.llm.simhash import simhash_groups
 from flowloom.llm import toxicity
@@ -31,6 +32,10 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_contaminations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def training_fold(labels: DataFrame) -> DataFrame:
     """Labels that may be learnt from; the others are held out."""
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_repeated_bytes": op4_repeated_bytes,
     "op5_simhash_groups": op5_simhash_groups,
+    "op7_contaminations": op7_contaminations,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
 }
