@@ -10,13 +10,14 @@ run of windows it was chosen by.
 * Round 1 refines each bucket by the identifier of all that the anchor's windows span, before and
   after it. Anchors with an equal identifier in an earlier document are repeats in full; buckets
   that were not split are finished as well.
-* Round 2 takes the first anchor of every part of a split bucket and refines by the identifiers
-  of its single windows, at the offsets of the anchor in them.
+* Round 2 takes the first anchor of every part of a split bucket, with the bytes around it, and
+  refines by the identifiers of its single windows, at the offsets of the anchor in them.
 
 A bucket identifier is a 64-bit polynomial of the bytes; identifiers of any stretch come from
 the same prefix sums, so those of later rounds reuse what earlier rounds computed, and a pair of
 (q-gram, stretch) identifiers names a bucket from round 1 on. Buckets are reduced to their
-least document by combining aggregates; no bucket is ever gathered in one task.
+least document by combining aggregates; only what rounds 0 and 1 left of a bucket, if it has at
+most ``MANY`` parts, is held by one task.
 """
 
 import hashlib
@@ -34,6 +35,8 @@ GRAM = 32
 BLOCK = 1 << 20  # bytes hashed at a time; positions in a block fit in POSITION bits
 POSITION = np.uint64(BLOCK - 1)
 TAG_BITS, BACK_BITS = 18, 7
+MANY = 2_000  # parts of a bucket from which its windows are aggregated instead of held
+HELD = 20_000  # spans resolved at a time
 
 
 def _odd_power(base: int, n: int) -> np.ndarray:
@@ -190,30 +193,109 @@ def _grams_only(length: int):
     return work
 
 
-def _windows(length: int):
-    """Single windows of the anchors listed for a text."""
+SPAN_SCHEMA = "gram bigint, _id bigint, place bigint, many boolean, bytes binary"
+
+
+def _spans(length: int):
+    """The bytes that the windows of each listed anchor span."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for one, tag, text, places in zip(*(batch.column(k) for k in range(4)), strict=True):
-                data = np.frombuffer(text.as_buffer() or b"", np.uint8)
-                first, more, _ = _unpack(np.unique(places.values.to_numpy()))
-                count = more + 1
-                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                at = np.unique(at[at + length <= len(data)])
-                keys = np.zeros(len(at), np.uint64)
-                for lo in range(0, len(data), BLOCK - length + 1):
-                    inside = (at >= lo) & (at <= lo + BLOCK - length)
-                    if inside.any():
-                        ids = Identifiers(data[lo : lo + BLOCK])
-                        keys[inside] = ids.of(at[inside] - lo, at[inside] - lo + length)
-                again = _repeated_before(keys, at)
-                packed = _pack(at, 0, tag.as_py(), again)
-                found.append((keys.view(np.int64), np.full(len(at), one.as_py(), np.int64), packed))
-            if found:
-                columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
-                yield pa.record_batch(columns, names=["key", "_id", "place"])
+            rows = {"gram": [], "_id": [], "place": [], "many": [], "bytes": []}
+            for one, text, listed in zip(*(batch.column(k) for k in range(3)), strict=True):
+                data, fields = memoryview(text.as_buffer() or b""), listed.values.flatten()
+                first, more, _ = _unpack(fields[0].to_numpy())
+                ends = (first + more + length).tolist()
+                if ends and max(ends) > len(data):
+                    raise ValueError("a listed stretch lies outside its text")
+                rows["gram"] += fields[1].to_pylist()
+                rows["_id"] += [one.as_py()] * len(ends)
+                rows["place"] += fields[0].to_pylist()
+                rows["many"] += fields[2].to_pylist()
+                rows["bytes"] += [bytes(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.record_batch(
+                [pa.array(column, kind) for column, kind in zip(rows.values(), kinds, strict=True)],
+                names=list(rows),
+            )
+
+    return work
+
+
+def _window_ids(batch: pa.RecordBatch, length: int):
+    """(row, place of the window, identifier) of every window of a table of spans."""
+    first, more, _ = _unpack(batch["place"].to_numpy())
+    column = batch["bytes"].cast(pa.large_binary())
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    rows, places, keys = [], [], []
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        count = more[at:end] + 1
+        row = np.repeat(np.arange(at, end), count)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        begin = offsets[row] - offsets[at] + step
+        rows.append(row)
+        places.append(first[row] + step)
+        keys.append(Identifiers(data[offsets[at] : offsets[end]]).of(begin, begin + length))
+        at = end
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    row = np.concatenate(rows)
+    gram = batch["gram"].to_numpy().view(np.uint64)
+    return row, np.concatenate(places), _mix(np.concatenate(keys) + _mix(gram[row]))
+
+
+def _repeats_in_buckets(length: int):
+    """From spans sorted by q-gram, the windows that start earlier elsewhere. Buckets are small;
+    rows are held until their bucket ends."""
+
+    def resolve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks()
+        row, place, key = _window_ids(batch, length)
+        one, tag = batch["_id"].to_numpy()[row], _unpack(batch["place"].to_numpy())[2][row]
+        order = np.lexsort((place, tag, one, key))
+        same = key[order[1:]] == key[order[:-1]]
+        start = np.maximum.accumulate(np.where(np.concatenate([[False], same]), 0, np.arange(len(order))))
+        later = one[order] > one[order[start]]
+        later[1:] |= same & (one[order[1:]] == one[order[:-1]]) & (tag[order[1:]] == tag[order[:-1]])
+        gone = np.sort(order[later])
+        fresh = np.ones(len(gone), bool)
+        fresh[1:] = (np.diff(place[gone]) != 1) | (np.diff(row[gone]) != 0)
+        first = np.flatnonzero(fresh)
+        more = np.diff(np.append(first, len(gone))) - 1
+        packed = _pack(place[gone[first]], more, tag[gone[first]], 0)
+        return pa.record_batch([pa.array(one[gone[first]]), pa.array(packed)], names=["_id", "place"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            gram = batch.column(0).to_numpy()
+            cut = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+            if count >= HELD and len(cut):
+                held[-1] = batch.slice(0, int(cut[-1]))
+                yield resolve(held)
+                held = [batch.slice(int(cut[-1]))]
+                count = held[0].num_rows
+        if count:
+            yield resolve(held)
+
+    return work
+
+
+def _single_windows(length: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, key = _window_ids(batch, length)
+            tag = _unpack(batch["place"].to_numpy())[2][row]
+            yield pa.record_batch(
+                [pa.array(key.view(np.int64)), pa.array(batch["_id"].to_numpy()[row]), pa.array(_pack(place, 0, tag, 0))],
+                names=["key", "_id", "place"],
+            )
 
     return work
 
@@ -280,7 +362,9 @@ def remove_repeats(
         shared.groupBy("gram", "span").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")),
         "bucket-parts",
     )
-    split = parts.groupBy("gram").agg(F.count("*").alias("_m")).where(F.col("_m") > 1).select("gram")
+    split = parts.groupBy("gram").agg(F.count("*").alias("_m")).where(F.col("_m") > 1).select(
+        "gram", (F.col("_m") > MANY).alias("many")
+    )
     several = parts.where(F.col("_n") > 1)
     covered = materialize(
         shared.join(several, ["gram", "span"]).where(own | (F.col("_id") > F.col("_first")))
@@ -288,24 +372,36 @@ def remove_repeats(
         "covered-anchors",
     )
     release(docs.sparkSession)
+    # The first anchors of the parts of split buckets, with the bytes around them.
     openings = (
-        shared.where(~own).join(parts.join(split, "gram", "left_semi"), ["gram", "span"])
-        .where(F.col("_id") == F.col("_first")).select("_id", "place")
+        shared.where(~own).join(parts.join(split, "gram"), ["gram", "span"])
+        .where(F.col("_id") == F.col("_first")).select("_id", "place", "gram", "many")
+    )
+    listed = openings.groupBy("_id", tag_of).agg(F.collect_list(F.struct("place", "gram", "many")).alias("_places"))
+    spans = materialize(
+        texts.join(listed.hint("shuffle_hash"), ["_id", "_tag"]).select("_id", "_text", "_places")
+        .mapInArrow(_spans(length), SPAN_SCHEMA),
+        "spans",
     )
+    release(docs.sparkSession)
 
-    # Round 2: single windows where a bucket was split. Up to the result this is one query, so
-    # that the texts are shuffled by row once and that shuffle serves every join with them.
-    listed = openings.groupBy("_id", tag_of).agg(F.collect_list("place").alias("_places"))
+    # Round 2: single windows. A bucket of few parts is refined where it lies; the windows of
+    # larger ones are reduced by combining aggregates.
+    narrow = (
+        spans.where(~F.col("many")).repartition("gram").sortWithinPartitions("gram", "_id", "place")
+        .mapInArrow(_repeats_in_buckets(length), "_id bigint, place bigint")
+    )
     windows = (
-        texts.join(listed.hint("shuffle_hash"), ["_id", "_tag"])
-        .select("_id", "_tag", "_text", "_places")
-        .mapInArrow(_windows(length), "key bigint, _id bigint, place bigint")
+        spans.where("many").mapInArrow(_single_windows(length), "key bigint, _id bigint, place bigint")
+        .withColumn("_tag", tag_of)
     )
-    first = windows.groupBy("key").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where(
-        F.col("_n") > 1
+    by_text = windows.groupBy("key", "_id", "_tag").agg(F.min("place").alias("_place"))
+    by_key = by_text.groupBy("key").agg(F.min("_id").alias("_first"))
+    wide = windows.join(by_text, ["key", "_id", "_tag"]).join(by_key, "key").where(
+        (F.col("_id") > F.col("_first")) | (F.col("place") > F.col("_place"))
     )
-    again = windows.join(first.hint("shuffle_hash"), "key").where(own | (F.col("_id") > F.col("_first")))
-    gone = covered.unionAll(again.select("_id", "place")).groupBy("_id", tag_of).agg(
+    again = narrow.unionAll(wide.select("_id", "place"))
+    gone = covered.unionAll(again).groupBy("_id", tag_of).agg(
         F.collect_list("place").alias("_gone")
     )
     cut = texts.join(gone.hint("shuffle_hash"), ["_id", "_tag"], "left").select("_id", "_text", "_gone")

@@ -51,8 +51,9 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("length,block", [(100, 1 << 20), (64, 256), (100, 256)])
-def test_repeats_match_brute_force(spark, monkeypatch, length, block):
+@pytest.mark.parametrize("length,block,many", [(100, 1 << 20, 2000), (64, 1 << 20, 3), (100, 1 << 20, 0), (64, 256, 9), (100, 256, 9)])
+def test_repeats_match_brute_force(spark, monkeypatch, length, block, many):
+    monkeypatch.setattr(repeats, "MANY", many)
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, SCHEMA).repartition(4)
