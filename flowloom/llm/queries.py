@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm.base import table
 from flowloom.llm.decontamination import contaminations
+from flowloom.llm.paragraphs import repeated_paragraphs
 from flowloom.llm.repeats import remove_repeats
 from flowloom.llm.simhash import simhash_groups
 from flowloom.llm import toxicity
@@ -53,6 +54,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECE_BPE, new_path(spark, "counts"))
 
 
+def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_repeated_bytes": op4_repeated_bytes,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_contaminations": op7_contaminations,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_repeated_paragraphs": op10_repeated_paragraphs,
 }
 
 ORACLES: dict[str, str] = {}
