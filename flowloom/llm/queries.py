@@ -5,12 +5,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowloom.llm import toxicity
 from flowloom.llm.base import table
 from flowloom.llm.decontamination import contaminations
 from flowloom.llm.paragraphs import repeated_paragraphs
 from flowloom.llm.repeats import remove_repeats
 from flowloom.llm.simhash import simhash_groups
-from flowloom.llm import toxicity
+from flowloom.llm.spot_signatures import edited_fingerprints
 from flowloom.llm.token_cache import token_counts
 from flowloom.llm.token_files import read_tokens, write_tokens
 from flowloom.workspace import new_path
@@ -33,6 +34,10 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_contaminations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_repeated_bytes": op4_repeated_bytes,
     "op5_simhash_groups": op5_simhash_groups,
+    "op6_spot_signatures": op6_spot_signatures,
     "op7_contaminations": op7_contaminations,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
