@@ -3,6 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from flowloom.workspace import new_path
+
 
 def text_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts may hold in a Python worker."""
@@ -32,6 +34,13 @@ def byte_views(column: pa.Array) -> list[memoryview]:
     return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a written table, and its path for :func:`drop_path`."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a working table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.base import release, text_or_empty
+from flowloom.llm.base import drop_path, release, stored, text_or_empty
 from flowloom.llm.token_files import flat_texts
 from flowloom.workspace import materialize
 
@@ -206,8 +206,6 @@ def _spans(length: int):
                 data, fields = memoryview(text.as_buffer() or b""), listed.values.flatten()
                 first, more, _ = _unpack(fields[0].to_numpy())
                 ends = (first + more + length).tolist()
-                if ends and max(ends) > len(data):
-                    raise ValueError("a listed stretch lies outside its text")
                 rows["gram"] += fields[1].to_pylist()
                 rows["_id"] += [one.as_py()] * len(ends)
                 rows["place"] += fields[0].to_pylist()
@@ -354,11 +352,11 @@ def remove_repeats(
         F.count("*").alias("_n")
     ).where(F.col("_n") > 1).select("gram")
     sampled = texts.mapInArrow(_sample(length), ANCHOR_SCHEMA)
-    shared = materialize(sampled.join(grams.hint("shuffle_hash"), "gram", "left_semi"), "shared-anchors")
+    shared, shared_path = stored(sampled.join(grams.hint("shuffle_hash"), "gram", "left_semi"), "shared-anchors")
     release(docs.sparkSession)
 
     # Round 1: refined by the span around the anchor.
-    parts = materialize(
+    parts, parts_path = stored(
         shared.groupBy("gram", "span").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")),
         "bucket-parts",
     )
@@ -373,10 +371,14 @@ def remove_repeats(
     )
     release(docs.sparkSession)
     # The first anchors of the parts of split buckets, with the bytes around them.
-    openings = (
+    openings = materialize(
         shared.where(~own).join(parts.join(split, "gram"), ["gram", "span"])
-        .where(F.col("_id") == F.col("_first")).select("_id", "place", "gram", "many")
+        .where(F.col("_id") == F.col("_first")).select("_id", "place", "gram", "many"),
+        "openings",
     )
+    for path in (shared_path, parts_path):
+        drop_path(docs.sparkSession, path)
+    release(docs.sparkSession)
     listed = openings.groupBy("_id", tag_of).agg(F.collect_list(F.struct("place", "gram", "many")).alias("_places"))
     spans = materialize(
         texts.join(listed.hint("shuffle_hash"), ["_id", "_tag"]).select("_id", "_text", "_places")
