@@ -14,6 +14,7 @@ from flowloom.llm.simhash import simhash_groups
 from flowloom.llm.spot_signatures import edited_fingerprints
 from flowloom.llm.token_cache import token_counts
 from flowloom.llm.token_files import read_tokens, write_tokens
+from flowloom.llm.warc import read_archives, write_archives
 from flowloom.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +27,26 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(files, folder)
 
 
+def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    files = write_archives(table(spark, sf_dir, "pages"), folder)
+    records = read_archives(spark, folder, files).where(F.col("kind") == "record")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(hex, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM k
+"""
+
+
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -65,6 +86,7 @@ def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_warc_records": op3_warc_records,
     "op4_repeated_bytes": op4_repeated_bytes,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_spot_signatures": op6_spot_signatures,
@@ -74,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_paragraphs": op10_repeated_paragraphs,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc_records": OP3_SQL}
