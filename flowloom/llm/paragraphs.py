@@ -21,7 +21,7 @@ from flowloom.llm.words import NEWLINE, blocks, mix, runs, word_ids
 from flowloom.workspace import materialize
 
 
-def tune_bands(threshold: float, recall: float = 0.999, doubt: float = 0.4) -> tuple[int, int]:
+def tune_bands(threshold: float, recall: float = 0.999, doubt: float = 0.5) -> tuple[int, int]:
     """(bands, rows in a band): the shortest bands for which pairs at ``threshold`` collide with
     probability ``recall`` or more, while pairs at half the threshold do so with at most
     ``doubt``. Fewer rows need fewer bands for the same recall."""
@@ -49,6 +49,8 @@ class Paragraphs:
         number = line[self.first]
         self.text = np.searchsorted(begin, lines[number], "right") - 1
         self.number = number - np.searchsorted(lines, begin[self.text], "left")
+        self.stretch, self.line_begin = stretch, lines[number]
+        self.line_end = np.append(lines[1:] - 1, len(stretch))[number]
         # Equal sequences of words have equal identifiers: a sum over words and their places.
         self.words = np.repeat(self.first - (np.cumsum(self.count) - self.count), self.count) + np.arange(self.count.sum())
         place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
@@ -101,8 +103,8 @@ def _scan(least: int, width: int, bands: int, rows: int):
     return work
 
 
-def _run_sets(least: int, width: int):
-    """Sorted sets of word runs of all paragraphs, once per task and digest."""
+def _lines(least: int, width: int):
+    """Digest and line of all paragraphs, once per task and digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -110,16 +112,33 @@ def _run_sets(least: int, width: int):
             data, offsets = flat_texts(batch.column(0))
             for lo, hi in blocks(offsets):
                 found = Paragraphs(data, offsets[lo : hi + 1], least, width)
-                ends = np.append(found.run_start[1:], len(found.runs))
                 new = []
                 for k, digest in enumerate(found.digest.tolist()):
                     if digest not in seen:
                         seen.add(digest)
                         new.append(k)
-                sets = [np.unique(found.runs[found.run_start[k] : ends[k]]).view(np.int64) for k in new]
+                begin, end = found.line_begin[new].tolist(), found.line_end[new].tolist()
+                lines = [bytes(found.stretch[a:b]) for a, b in zip(begin, end, strict=True)]
+                yield pa.record_batch(
+                    [pa.array(found.digest[new].view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string())],
+                    names=["digest", "line"],
+                )
+
+    return work
+
+
+def _run_sets(least: int, width: int):
+    """Sorted sets of the word runs of paragraphs given line by line."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat_texts(batch.column(1))
+            for lo, hi in blocks(offsets):
+                found = Paragraphs(data, offsets[lo : hi + 1], least, width)
+                ends = np.append(found.run_start[1:], len(found.runs))
+                sets = [np.unique(found.runs[a:b]).view(np.int64) for a, b in zip(found.run_start, ends, strict=True)]
                 yield pa.record_batch(
-                    [pa.array(found.digest[new].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["digest", "runs"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "runs"]
                 )
 
     return work
@@ -164,11 +183,11 @@ def repeated_paragraphs(
     )
     banded = found.where(F.col("keys").isNotNull()).select("digest", F.explode("keys").alias("key"))
 
-    # One member of each bucket, chosen by a hash that differs between buckets.
-    order = F.xxhash64("digest", "key")
-    picks = banded.groupBy("key").agg(
-        F.min(order).alias("_low"), F.min("digest").alias("_a"), F.max("digest").alias("_b")
-    ).where(F.col("_a") != F.col("_b")).select("key", "_low")
+    # One member of each bucket, chosen by an order that differs between buckets.
+    order = F.col("digest").bitwiseXOR(F.col("key"))
+    picks = banded.groupBy("key").agg(F.min(order).alias("_low"), F.max(order).alias("_high")).where(
+        F.col("_low") != F.col("_high")
+    ).select("key", "_low")
     members = materialize(
         banded.join(picks, "key").select("key", "digest", (order == F.col("_low")).alias("chosen")).distinct(),
         "bucket-members",
@@ -180,8 +199,9 @@ def repeated_paragraphs(
         .where(F.col("u") != F.col("v")).distinct()
     )
     sets = materialize(
-        texts.select("_text").mapInArrow(_run_sets(least, width), "digest bigint, runs array<bigint>")
-        .join(members.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]),
+        texts.select("_text").mapInArrow(_lines(least, width), "digest bigint, line string")
+        .join(members.select("digest").distinct().hint("shuffle_hash"), "digest", "left_semi")
+        .dropDuplicates(["digest"]).mapInArrow(_run_sets(least, width), "digest bigint, runs array<bigint>"),
         "run-sets",
     )
     release(spark)
