@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowloom.llm import toxicity
 from flowloom.llm.base import table
 from flowloom.llm.decontamination import contaminations
+from flowloom.llm.mixing import mixture
 from flowloom.llm.paragraphs import repeated_paragraphs
 from flowloom.llm.repeats import remove_repeats
 from flowloom.llm.simhash import simhash_groups
@@ -21,6 +22,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     files = write_tokens(table(spark, sf_dir, "documents"), folder, BYTE_BPE, end_id=2)
@@ -85,6 +90,7 @@ def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixture": op1_mixture,
     "op2_token_files": op2_token_files,
     "op3_warc_records": op3_warc_records,
     "op4_repeated_bytes": op4_repeated_bytes,
