@@ -348,9 +348,13 @@ def remove_repeats(
     own = F.col("place").bitwiseAND(1) == 1
 
     # Round 0: q-gram buckets with more than one anchor.
-    grams = texts.mapInArrow(_grams_only(length), "gram bigint").groupBy("gram").agg(
-        F.count("*").alias("_n")
-    ).where(F.col("_n") > 1).select("gram")
+    # A written list: the join with it then shuffles both sides itself and can split a hot q-gram.
+    grams, grams_path = stored(
+        texts.mapInArrow(_grams_only(length), "gram bigint").groupBy("gram").agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > 1).select("gram"),
+        "shared-grams",
+    )
+    release(docs.sparkSession)
     sampled = texts.mapInArrow(_sample(length), ANCHOR_SCHEMA)
     shared, shared_path = stored(sampled.join(grams.hint("shuffle_hash"), "gram", "left_semi"), "shared-anchors")
     release(docs.sparkSession)
@@ -376,7 +380,7 @@ def remove_repeats(
         .where(F.col("_id") == F.col("_first")).select("_id", "place", "gram", "many"),
         "openings",
     )
-    for path in (shared_path, parts_path):
+    for path in (grams_path, shared_path, parts_path):
         drop_path(docs.sparkSession, path)
     release(docs.sparkSession)
     listed = openings.groupBy("_id", tag_of).agg(F.collect_list(F.struct("place", "gram", "many")).alias("_places"))
