@@ -3,8 +3,8 @@
 A paragraph is a line of at least ``least`` words. Equal paragraphs form a class. Classes whose
 MinHash signatures agree in a band are candidates: each is first compared with one member of its
 bucket that a combining aggregate picks, another for every bucket, so families of near copies
-connect without pairs inside a group. Buckets that still hold several components are then
-compared across components, so no candidate pair between different components is left out.
+connect without pairs inside a group. What is then left in different components is joined
+exactly, on the rarest word runs of each paragraph, so no candidate pair is left out.
 Jaccard similarity is computed exactly on sets of word runs. One paragraph of a component stays.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowloom.llm.base import release, text_or_empty
 from flowloom.llm.components import components
+from flowloom.llm.set_join import prefix_items
 from flowloom.llm.token_files import flat_texts
 from flowloom.llm.words import NEWLINE, blocks, mix, runs, word_ids
 from flowloom.workspace import materialize
@@ -208,22 +209,25 @@ def repeated_paragraphs(
     links = materialize(_verified(stars, sets, threshold), "star-links")
     roots = components(links)
 
-    # Buckets that still hold several components: pairs across them.
-    placed = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "key", "digest", F.coalesce("root", "digest").alias("root")
+    # Links between different components: an exact join of the sets on the runs that fewest have.
+    # Runs that only one component has cannot add a link, however large it is.
+    placed = materialize(
+        prefix_items(sets, "digest", "runs", threshold)
+        .join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+        .select("digest", "item", "size", F.coalesce("root", "digest").alias("root")),
+        "prefix-runs",
     )
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where(
+    open_runs = placed.groupBy("item").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where(
         F.col("_a") != F.col("_b")
-    ).select("key")
-    rest = materialize(placed.join(open_keys, "key", "left_semi"), "open-buckets")
-    other = rest.select("key", F.col("digest").alias("v"), F.col("root").alias("_root"))
+    ).select("item")
+    rest = materialize(placed.join(open_runs, "item", "left_semi"), "open-runs")
+    other = rest.select("item", F.col("digest").alias("v"), F.col("root").alias("_root"), F.col("size").alias("_size"))
+    alike = F.least("size", "_size") >= threshold * F.greatest("size", "_size")
     across = (
-        rest.withColumnRenamed("digest", "u").join(other, "key").where(F.col("root") < F.col("_root"))
-        .select("u", "v").distinct()
+        rest.withColumnRenamed("digest", "u").join(other, "item")
+        .where((F.col("root") < F.col("_root")) & alike).select("u", "v").distinct()
     )
-    done = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = _verified(across.join(done, ["u", "v"], "left_anti"), sets, threshold)
-    roots = components(links.unionAll(more))
+    roots = components(links.unionAll(_verified(across, sets, threshold)))
 
     # Components of one paragraph have nothing to remove.
     place = F.struct("_id", "number")

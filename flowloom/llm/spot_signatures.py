@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.llm.base import text_or_empty
 from flowloom.llm.components import components
+from flowloom.llm.set_join import prefix_items
 from flowloom.llm.words import mix, word_ids
 from flowloom.workspace import materialize
 
@@ -129,16 +130,7 @@ def similar_groups(
     sets = materialize(named.groupBy("_fp").agg(F.any_value("fingerprint").alias("s")).where(F.size("s") > 0), "spot-sets")
     # Length partition: lengths in one are within the threshold of each other.
     part = F.floor(F.log(F.size("s").cast("double")) / float(-np.log(threshold)) + 1e-9).cast("int")
-    tokens = sets.select("_fp", F.explode("s").alias("t"))
-    common = tokens.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    # Rarest first; signatures of one set only cannot link and sort before all others.
-    placed = tokens.join(common, "t", "left").groupBy("_fp").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "t"))).alias("r")
-    )
-    prefix = F.size("r") - F.ceil(threshold * F.size("r") - 1e-9).cast("int") + 1
-    heads = placed.select("_fp", F.explode(F.slice("r", 1, prefix)).alias("x")).where(F.col("x.n") > 1).select(
-        "_fp", F.col("x.t").alias("t")
-    )
+    heads = prefix_items(sets, "_fp", "s", threshold).select("_fp", F.col("item").alias("t"))
     lengths = sets.select("_fp", part.alias("part"), F.size("s").alias("len"))
     own = heads.join(lengths, "_fp")
     near = own.select(F.col("_fp").alias("v"), F.col("t"), F.col("len").alias("len_v"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
