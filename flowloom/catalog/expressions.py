@@ -369,7 +369,7 @@ def _(spark, sf):
 
 @query("p14_alert_band", with_sql(INCIDENTS) + """ SELECT id, threat_score FROM inc WHERE threat_score >= 0.5 AND threat_score < 0.75 ORDER BY created_at DESC, id DESC LIMIT 200""")
 def _(spark, sf):
-    return cleaning.alerts_in_band(incidents(spark, sf), "warning", 500).select("id", "threat_score")
+    return cleaning.alerts_in_band(incidents(spark, sf), "warning", 200).select("id", "threat_score")
 
 
 @query("p15_feed_filter", with_sql(INCIDENTS) + """ SELECT id FROM inc WHERE alert_status <> 'resolved' AND threat_score >= 0.5 AND attack_type IN ('DDoS', 'Botnet')

@@ -218,7 +218,7 @@ def _(spark, sf):
     return w.select("y", "n", r(F.col("weight"), "weight"), r(F.col("two_class_weight"), "two_class_weight"))
 
 
-@query("g00_suspicious_hosts", "WITH " + NODE_SQL + " SELECT window_id, '10.0.0.' || host % 256 AS ip, round(dst_port_entropy, 6) AS dst_port_entropy, unique_dst_ports, unique_src_ips, round(answered_flows / greatest(out_degree, 1), 6) AS reciprocity FROM nb ORDER BY round(dst_port_entropy, 6) DESC, window_id, ip LIMIT 100")
+@query("g00_suspicious_hosts", "WITH " + NODE_SQL + " SELECT window_id, '10.0.0.' || host % 256 AS ip, round(dst_port_entropy, 6) AS dst_port_entropy, unique_dst_ports, unique_src_ips, round(answered_flows / greatest(out_degree, 1), 6) AS reciprocity FROM nb")
 def _(spark, sf):
     """Which hosts look like scanners or flood victims, per window."""
     from flowloom.functions.addresses import int_to_ipv4
@@ -226,4 +226,4 @@ def _(spark, sf):
     n = hosts.node_block(w).select(
         "window_id", int_to_ipv4(F.col("host")).alias("ip"), r(F.col("dst_port_entropy"), "dst_port_entropy"), "unique_dst_ports", "unique_src_ips",
         r(F.col("answered_flows") / F.greatest(F.col("out_degree"), F.lit(1)), "reciprocity"))
-    return n.orderBy(F.desc("dst_port_entropy"), "window_id", "ip").limit(100)
+    return n.orderBy(F.desc("dst_port_entropy"), "window_id", "ip")

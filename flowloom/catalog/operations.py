@@ -235,10 +235,10 @@ def _(spark, sf):
     return views.latest_per_host(incidents(spark, sf).select("source_ip", "id", "attack_type", "created"), "source_ip", ["created", "id"])
 
 
-@query("w13_alert_order", with_sql(INCIDENTS) + ", a AS (SELECT id, CASE WHEN threat_score >= 0.75 THEN 'critical' WHEN threat_score >= 0.5 THEN 'warning' ELSE 'info' END AS severity, created_at FROM inc) SELECT id, severity FROM a ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, created_at DESC, id DESC LIMIT 100")
+@query("w13_alert_order", with_sql(INCIDENTS) + ", a AS (SELECT id, CASE WHEN threat_score >= 0.75 THEN 'critical' WHEN threat_score >= 0.5 THEN 'warning' ELSE 'info' END AS severity, created_at FROM inc) SELECT id, severity FROM a ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, created_at DESC, id DESC")
 def _(spark, sf):
     rows = incidents(spark, sf).withColumn("severity", scoring.severity_label(F.col("threat_score")))
-    return views.alert_order(rows).limit(100).select("id", "severity")
+    return views.alert_order(rows).select("id", "severity")
 
 
 # ------------------------------------------------------------------- set based

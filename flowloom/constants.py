@@ -133,3 +133,9 @@ STATE_OF_STATUS = {
 ALERT_FLOW_COUNTS = [1, 2, 3, 5, 10, 25, 50, 100]
 FIXED_THRESHOLDS = [0.5, 0.8, 0.85, 0.9, 0.95, 0.99]
 CONFIGURED_HOSTS = [f"10.0.0.{i}" for i in range(1, 11)]
+
+# --- fixed values: incident types, timeline spans and steps in minutes ----------
+KNOWN_TYPES = ["DDoS", "PortScan", "SSHBrute", "Botnet", "DoSHulk", "Manual", "Heuristic", "Unknown"]
+WINDOW_STEPS = {"all": (43200, 1440), "30d": (43200, 1440), "14d": (20160, 720), "7d": (10080, 360),
+                "24h": (1440, 60), "6h": (360, 15), "1h": (60, 5), "60min": (60, 5)}
+STEP_LIMITS = [(60, 5), (360, 15), (1440, 60), (10080, 360), (20160, 720), (43200, 1440)]

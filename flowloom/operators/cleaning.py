@@ -217,10 +217,11 @@ def feed_filter(
 SEVERITY_BANDS = {"critical": (0.75, None), "warning": (0.50, 0.75), "info": (None, 0.50)}
 
 
-def alerts_in_band(alerts: DataFrame, severity: str | None, limit: int = 50) -> DataFrame:
+def alerts_in_band(alerts: DataFrame, severity: str | None, limit: int | None = None) -> DataFrame:
     out = alerts
     if severity:
         low, high = SEVERITY_BANDS[severity]
         out = out.where(F.col("threat_score") >= low) if low is not None else out
         out = out.where(F.col("threat_score") < high) if high is not None else out
-    return out.orderBy(F.desc("created_at"), F.desc("id")).limit(min(limit, 200))
+    ordered = out.orderBy(F.desc("created_at"), F.desc("id"))
+    return ordered if limit is None else ordered.limit(limit)

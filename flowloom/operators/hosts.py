@@ -13,12 +13,14 @@ from flowloom.constants import EPS
 
 # ----------------------------------------------------------------- windows
 def assign_windows(
-    df: DataFrame, seconds: int, t: str = "t", by: list[str] = (), anchor: str = "first"
+    df: DataFrame, seconds: int, t: str = "t", by: list[str] = (), anchor: str = "first",
+    origin: int | None = None,
 ) -> DataFrame:
     """Tumbling windows. ``first`` starts the grid at the earliest flow (per ``by`` group,
-    such as a split: a handful of rows), ``epoch`` at multiples of the width."""
-    if anchor == "epoch":
-        start = F.lit(0)
+    such as a split: a handful of rows), ``epoch`` at multiples of the width. A known ``origin``
+    saves the search for the earliest flow."""
+    if anchor == "epoch" or origin is not None:
+        start = F.lit(0 if anchor == "epoch" else origin)
         timed = df
     else:
         first = df.groupBy(*by).agg(F.min(t).alias("_t0"))
@@ -32,14 +34,17 @@ def assign_windows(
     }).drop("_t0")
 
 
-def assign_sliding_windows(df: DataFrame, seconds: int, stride: int, t: str = "t") -> DataFrame:
+def assign_sliding_windows(
+    df: DataFrame, seconds: int, stride: int, t: str = "t", origin: int | None = None
+) -> DataFrame:
     """Overlapping windows on the fixed grid ``first t + k * stride``; one row per flow and
     covering window, at most ``ceil(seconds / stride)`` of them."""
-    first = df.agg(F.min(t).alias("_t0"))
+    first = df.agg(F.min(t).alias("_t0")) if origin is None else None
+    timed = df.withColumn("_t0", F.lit(origin)) if first is None else df.crossJoin(F.broadcast(first))
     offset = F.col(t) - F.col("_t0")
     last = F.floor(offset / stride)
     earliest = F.greatest(F.floor((offset - seconds) / stride) + 1, F.lit(0))
-    out = df.crossJoin(F.broadcast(first)).withColumn("window_id", F.explode(F.sequence(earliest, last)))
+    out = timed.withColumn("window_id", F.explode(F.sequence(earliest, last)))
     return out.withColumns({
         "window_start": (F.col("_t0") + F.col("window_id") * stride).cast("double"),
         "window_end": (F.col("_t0") + F.col("window_id") * stride + seconds).cast("double"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowloom.constants import NON_MODEL_LABELS
+from flowloom.constants import KNOWN_TYPES, NON_MODEL_LABELS
 
 
 def validate_labels(df: DataFrame, classes: list[str], notes: dict[str, str],
@@ -87,9 +87,6 @@ def without_blocked(incidents: DataFrame, blocked: DataFrame, ip: str = "source_
 
 
 # -------------------------------------------------------------------- history
-KNOWN_TYPES = ["DDoS", "PortScan", "SSHBrute", "Botnet", "DoSHulk", "Manual", "Heuristic", "Unknown"]
-
-
 def healing_history(actions: DataFrame, incidents: DataFrame) -> DataFrame:
     """Block actions with the type and score of their incident, or what the reason implies."""
     i = incidents.select(

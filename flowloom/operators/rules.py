@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowloom.constants import MAX_RULES_PER_WINDOW, POLICY_ROWS, POLICY_SCHEMA
+from flowloom.constants import POLICY_ROWS, POLICY_SCHEMA
 from flowloom.functions import scoring
 from flowloom.operators.ordered import top_in_group
+from flowloom.workspace import checked_broadcast
 
 
 def policy_table(spark, rows=POLICY_ROWS) -> DataFrame:
@@ -47,9 +48,11 @@ def policy_coverage(scored: DataFrame, policy: DataFrame, benign: str) -> DataFr
 
 
 def require_coverage(coverage: DataFrame) -> None:
-    missing = [r.attack_class for r in coverage.where(F.col("problem") == "no_policy").limit(20).collect()]
-    if missing:
-        raise ValueError(f"predicted classes without a policy: {missing}")
+    missing = coverage.where(F.col("problem") == "no_policy")
+    total = missing.count()
+    if total:
+        some = [r.attack_class for r in missing.orderBy("attack_class").limit(20).collect()]
+        raise ValueError(f"{total} predicted classes without a policy, among them {some}")
 
 
 def with_policy(scored: DataFrame, policy: DataFrame) -> DataFrame:
@@ -59,14 +62,14 @@ def with_policy(scored: DataFrame, policy: DataFrame) -> DataFrame:
 
 def translate(
     scored: DataFrame, policy: DataFrame, tie: list[str], *, allow: DataFrame | None = None,
-    corroboration: float | None = None, cap: int = MAX_RULES_PER_WINDOW,
+    corroboration: float | None = None, cap: int | None = None,
 ) -> DataFrame:
     """Adds ``outcome``: rule, duplicate, or why the flow is withheld.
 
     ``scored`` holds attack-classified flows: window_id, src_ip, dst_ip, protocol, dst_port,
     attack_class, confidence, src_threat and the tie columns. Flows count in order of falling
-    confidence. One rule per key; once a window has ``cap`` rules every later flow is
-    withheld as rule_cap. The first flow of each key is found by a combined aggregate, the
+    confidence. One rule per key. With a ``cap`` (``MAX_RULES_PER_WINDOW`` is the usual one),
+    every flow after a window's ``cap`` rules is withheld as rule_cap. The first flow of each key is found by a combined aggregate, the
     ``cap``-th such flow per window by a limited rank, and all others are compared with it.
     """
     j = with_policy(scored, policy)
@@ -89,10 +92,14 @@ def translate(
     key = ["window_id", "src_ip", "dst_ip", "protocol", "_port"]
     open_rows = marked.where(F.col("_reason").isNull())
     firsts = open_rows.groupBy(*key).agg(F.min("_order").alias("_first"))
-    kept = top_in_group(firsts, ["window_id"], [F.col("_first")], cap)
-    limits = kept.groupBy("window_id").agg(F.count(F.lit(1)).alias("_rules"), F.max("_first").alias("_last"))
-    judged = marked.join(firsts, key, "left").join(limits, "window_id", "left")
-    full = (F.col("_rules") >= cap) & (F.col("_order") > F.col("_last"))
+    judged = marked.join(firsts, key, "left")
+    full = F.lit(False)
+    if cap is not None:
+        kept = top_in_group(firsts, ["window_id"], [F.col("_first")], cap)
+        limits = kept.groupBy("window_id").agg(F.count(F.lit(1)).alias("_rules"), F.max("_first").alias("_last"))
+        # one row per window: sent to the flows if it is small, so that a flood window is not one key
+        judged = judged.join(checked_broadcast(limits, "rule-limits"), "window_id", "left")
+        full = (F.col("_rules") >= cap) & (F.col("_order") > F.col("_last"))
     outcome = (
         F.when(F.col("_reason").isNotNull(), F.col("_reason")).when(full, "rule_cap")
         .when(F.col("_order") == F.col("_first"), "rule").otherwise("duplicate")

@@ -77,16 +77,15 @@ def degrade_flows(flows: DataFrame) -> DataFrame:
     }).withColumns({c: zero for c in ("bwd_packets", "bwd_bytes", "syn", "rst", "ack", "psh") if c in flows.columns})
 
 
-def recount_polls(flows: DataFrame, poll: int = 5, idle: float = 0.0, most: int = 720) -> DataFrame:
+def recount_polls(flows: DataFrame, poll: int = 5, idle: float = 0.0) -> DataFrame:
     """Every flow as often as polls would have seen it: on each grid tick strictly after its
-    start while it is visible, counters so far, rates over the time since it was installed.
-    A row becomes at most ``most`` rows; ``hit_cap`` marks flows that reach that bound."""
+    start while it is visible, counters so far, rates over the time since it was installed."""
     lived = F.greatest(F.coalesce(F.col("duration_us"), F.lit(0.0)) / 1e6, F.lit(1e-3))
     rows = flows.withColumns({"_t0": F.col("t").cast("double"), "_dur": lived}).withColumns({
         "_visible": F.col("_dur") + idle, "_tick": F.floor(F.col("_t0") / poll) * poll + poll,
     })
     polls = F.floor((F.col("_t0") + F.col("_visible") - F.col("_tick")) / poll) + 1
-    rows = rows.withColumn("_polls", F.least(F.greatest(polls, F.lit(1)), F.lit(most)))
+    rows = rows.withColumn("_polls", F.greatest(polls, F.lit(1)))
     seen = rows.withColumn("poll", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_polls") - 1)))
     at = F.col("_tick") + F.col("poll") * poll
     since = F.least(F.greatest(at - F.col("_t0"), F.lit(1e-3)), F.col("_visible"))
@@ -95,7 +94,7 @@ def recount_polls(flows: DataFrame, poll: int = 5, idle: float = 0.0, most: int
     new = {c: F.col(c) * share for c in ("fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes") if c in flows.columns}
     new |= {c: F.col(c) * (F.col("_elapsed") / F.col("_since")) for c in ("bytes_per_s", "packets_per_s") if c in flows.columns}
     out = seen.withColumns({
-        **new, "t": F.col("_at").cast("bigint"), "duration_us": F.col("_since") * 1e6, "hit_cap": F.col("_polls") >= most,
+        **new, "t": F.col("_at").cast("bigint"), "duration_us": F.col("_since") * 1e6,
     })
     return out.drop("_t0", "_dur", "_visible", "_tick", "_polls", "_at", "_since", "_elapsed")
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.constants import CONFIGURED_HOSTS, STATE_OF_STATUS
+from flowloom.constants import CONFIGURED_HOSTS, STATE_OF_STATUS, STEP_LIMITS, WINDOW_STEPS
 from flowloom.functions.addresses import host_label
 from flowloom.functions.scoring import node_status
 
@@ -121,12 +121,6 @@ def with_scaffold(hosts: DataFrame, links: DataFrame, switch="s1", controller="c
 
 
 # -------------------------------------------------------------------- timeline
-WINDOW_STEPS = {"all": (43200, 1440), "30d": (43200, 1440), "14d": (20160, 720), "7d": (10080, 360),
-                "24h": (1440, 60), "6h": (360, 15), "1h": (60, 5), "60min": (60, 5)}
-STEP_LIMITS = [(60, 5), (360, 15), (1440, 60), (10080, 360), (20160, 720), (43200, 1440)]
-MAX_POINTS = 300
-
-
 def window_minutes(text: str) -> tuple[int, int]:
     """Span and step in minutes of a text such as ``7d``, ``90min`` or ``all``."""
     value = (text or "60min").strip().lower()
@@ -149,7 +143,7 @@ def timeline(incidents: DataFrame, blocks: DataFrame, now: int, window: str = "6
     end = now // step * step
     start = end - span
     spark = incidents.sparkSession
-    points = min(-(-span // step), MAX_POINTS)
+    points = -(-span // step)
     spine = spark.range(points).select((F.floor(F.lit(start) / step) + F.col("id")).alias("bucket"), (F.lit(start) + F.col("id") * step).alias("time"))
 
     def counts(df, t, name):
@@ -284,9 +278,10 @@ def page_after(df: DataFrame, newest: str, key: str, last_newest, last_key, limi
     return df.where(older).orderBy(F.desc(newest), F.desc(key)).limit(limit)
 
 
-def newest(df: DataFrame, order: list[str], limit: int, ip: str | None = None, column: str = "ip_address") -> DataFrame:
+def newest(df: DataFrame, order: list[str], limit: int | None = None, ip: str | None = None, column: str = "ip_address") -> DataFrame:
     rows = df.where(F.col(column) == ip) if ip else df
-    return rows.orderBy(*[F.desc(c) for c in order]).limit(min(limit, 500))
+    ordered = rows.orderBy(*[F.desc(c) for c in order])
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def oldest_work(df: DataFrame, eligible: Column, key: str, limit: int) -> DataFrame:

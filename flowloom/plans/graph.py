@@ -11,32 +11,69 @@ from flowloom.settings import WindowOptions
 from flowloom.workspace import checked_broadcast, materialize
 
 
+class _Placement:
+    """Windows, node ids and tokens of flows, and which windows are full.
+
+    The earliest time is looked up once, in the time column alone, and then is a value in every
+    plan; window sizes need the time column alone as well."""
+
+    def __init__(self, flows: DataFrame, options: WindowOptions, by: list[str]):
+        self.flows, self.options, self.by = flows, options, list(by)
+        self.sliding = bool(options.stride and options.stride != options.seconds)
+        self.origin = None
+        if self.sliding or (options.anchor == "first" and not self.by):
+            self.origin = flows.agg(F.min("t")).first()[0]
+        sizes = self.place(flows.select(*self.by, "t")).groupBy(*self.by, "window_id").agg(F.count(F.lit(1)).alias("_n"))
+        self.full = checked_broadcast(sizes.where(F.col("_n") >= options.min_edges).drop("_n"), "full-windows")
+
+    def place(self, df: DataFrame) -> DataFrame:
+        o = self.options
+        if self.sliding:
+            return hosts.assign_sliding_windows(df, o.seconds, o.stride, origin=self.origin)
+        return hosts.assign_windows(df, o.seconds, by=self.by, anchor=o.anchor, origin=self.origin)
+
+    def coded(self) -> DataFrame:
+        """Ids and tokens are made in the scan stage, and only they travel through shuffles."""
+        def node(ip):
+            value = ipv4_to_int(F.col(ip))
+            return subnet_key(value, self.options.subnet_prefix) if self.options.subnet_prefix else value
+
+        return self.flows.withColumns({
+            "src": node("src_ip"), "dst": node("dst_ip"),
+            "src_token": port_token(F.col("src_port")), "dst_token": port_token(F.col("dst_port")),
+            "protocol_token": protocol_token(F.col("protocol")),
+            "total_bytes": F.coalesce(F.col("fwd_bytes"), F.lit(0.0)) + F.coalesce(F.col("bwd_bytes"), F.lit(0.0)),
+        })
+
+    def kept(self, placed: DataFrame) -> DataFrame:
+        return placed.join(self.full, [*self.by, "window_id"], "left_semi")
+
+    def edges(self, tie: list[str]) -> DataFrame:
+        """Tumbling windows are columns of the scan; sliding ones repeat rows and come last."""
+        coded = self.coded()
+        if self.sliding:
+            return self.kept(self.place(hosts.time_since_contact(coded, tie, scope=self.by)))
+        return self.kept(hosts.time_since_contact(self.place(coded), tie, scope=self.by))
+
+    def ends(self) -> DataFrame:
+        """The columns that nodes are made of; no contact times, no wide rows."""
+        narrow = self.coded().select(*self.by, "t", "src", "dst", "dst_token", "total_bytes", "y")
+        return self.kept(self.place(narrow)).drop("window_start", "window_end")
+
+
 def window_edges(
     flows: DataFrame, options: WindowOptions, tie: list[str], by: list[str] = ()
 ) -> DataFrame:
     """Flows with gaps, window, node ids and tokens; windows under the minimum are gone."""
-    sliding = options.stride and options.stride != options.seconds
-
-    def place(df):
-        if sliding:
-            return hosts.assign_sliding_windows(df, options.seconds, options.stride)
-        return hosts.assign_windows(df, options.seconds, by=list(by), anchor=options.anchor)
-
-    # window sizes come from the time column alone, before the wide rows are touched
-    sizes = place(flows.select(*by, "t")).groupBy(*by, "window_id").agg(F.count(F.lit(1)).alias("_n"))
-    full = checked_broadcast(sizes.where(F.col("_n") >= options.min_edges).drop("_n"), "full-windows")
-    def node(ip):
-        value = ipv4_to_int(F.col(ip))
-        return subnet_key(value, options.subnet_prefix) if options.subnet_prefix else value
-
-    # ids and tokens are made in the scan stage, and only they travel through the shuffles
-    coded = flows.withColumns({
-        "src": node("src_ip"), "dst": node("dst_ip"),
-        "src_token": port_token(F.col("src_port")), "dst_token": port_token(F.col("dst_port")),
-        "protocol_token": protocol_token(F.col("protocol")),
-        "total_bytes": F.coalesce(F.col("fwd_bytes"), F.lit(0.0)) + F.coalesce(F.col("bwd_bytes"), F.lit(0.0)),
-    })
-    return place(hosts.time_since_contact(coded, tie, scope=by)).join(full, [*by, "window_id"], "left_semi")
+    return _Placement(flows, options, by).edges(tie)
+
+
+def small_windows(flows: DataFrame, options: WindowOptions, by: list[str] = ()) -> DataFrame:
+    """(by, window_id, n_flows, status): windows under the minimum, which no graph has."""
+    sizes = _Placement(flows, options, by).place(flows.select(*by, "t")).groupBy(*by, "window_id").agg(
+        F.count(F.lit(1)).alias("n_flows")
+    )
+    return sizes.where(F.col("n_flows") < options.min_edges).withColumn("status", F.lit("unscored"))
 
 
 def build_nodes(edges: DataFrame, by: list[str] = (), history: list[str] = ("window_id",)) -> DataFrame:
@@ -78,9 +115,7 @@ def cap_edges(edges: DataFrame, cap: int, tie: list[str], keys: list[str], seed:
 
 def build_edges(edges: DataFrame, options: WindowOptions, ids: list[str], by: list[str] = ()) -> DataFrame:
     keys = [*by, "window_id"]
-    sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    oversized = not sizes.where(F.col("_n") > options.max_edges).isEmpty()
-    capped = cap_edges(edges, options.max_edges, ids, keys, options.seed) if oversized else edges
+    capped = edges if options.max_edges is None else cap_edges(edges, options.max_edges, ids, keys, options.seed)
     features = edge_features(F.col("window_start"), F.col("window_end"))
     real = capped.select(
         *keys, *[F.col(c) for c in ids], "src", "dst", "src_token", "dst_token", "protocol_token",
@@ -106,9 +141,11 @@ def build_graphs(
     history: list[str] = ("window_id",), ids: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). ``tie`` orders flows of the same second, ``ids`` (by default the same
-    columns) identify a flow in the edge table. The windowed edge table is written once: nodes and edges both read it."""
-    base = materialize(window_edges(flows, options, tie, by), "window-edges")
-    return build_nodes(base, by, history), build_edges(base, options, ids or tie, by)
+    columns) identify a flow in the edge table. Nodes are made from a narrow table of their own,
+    so neither table waits for, or pays for, the other."""
+    placement = _Placement(flows, options, by)
+    ends = materialize(placement.ends(), "flow-ends")
+    return build_nodes(ends, by, history), build_edges(placement.edges(tie), options, ids or tie, by)
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, keys: list[str] = ("window_id",)) -> DataFrame:

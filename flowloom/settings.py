@@ -8,7 +8,7 @@ class WindowOptions:
     seconds: int = 60
     stride: int | None = None
     min_edges: int = 8
-    max_edges: int = 200_000
+    max_edges: int | None = None  # a sample of so many edges from each larger window
     anchor: str = "first"  # "first": the earliest flow; "epoch": multiples of the width
     subnet_prefix: int | None = None
     add_reverse_edges: bool = True

@@ -17,17 +17,18 @@ def append_snapshots(flows: DataFrame, path: str, captured: str = "captured_at")
     rows.write.mode("append").partitionBy("capture_date").parquet(path)
 
 
-def rehydrate(snapshots: DataFrame, now, seconds: int, order: list[str], limit: int = 500) -> DataFrame:
+def rehydrate(snapshots: DataFrame, now, seconds: int, order: list[str], limit: int | None = None) -> DataFrame:
     """The newest snapshots of the last seconds. The date filter prunes folders."""
     since = F.lit(now) - F.make_dt_interval(secs=F.lit(float(seconds)))
     recent = snapshots.where((F.col("captured_at") >= since))
     if "capture_date" in snapshots.columns:
         recent = recent.where(F.col("capture_date") >= F.to_date(since))
-    return recent.orderBy(F.desc("captured_at"), *order).limit(limit)
+    ordered = recent.orderBy(F.desc("captured_at"), *order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def first_scores(recent: DataFrame, order: list[str]) -> DataFrame:
-    """Per source, the score of its newest snapshot. At most ``limit`` rows come in."""
+    """Per source, the score of its newest snapshot."""
     newest = F.min_by("threat_score", F.struct((-F.unix_micros("captured_at")).alias("n"), *order))
     return recent.groupBy("src_ip").agg(newest.alias("score"))
 

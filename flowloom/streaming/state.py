@@ -5,8 +5,8 @@ Inputs are per-window aggregates, so one key has one row per window however many
 had. The per-key functions are small; Spark partitions, orders and stores the state.
 """
 
-import math
-from typing import Iterator
+from itertools import accumulate
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -105,25 +105,49 @@ def feature_windows(rows: DataFrame, features: list[str], segment: str, window_e
     )
 
 
-def ema_steps(rows: pd.DataFrame, ref_mean: float, ref_std: float, state=None, half_life=900.0, warmup=50,
-              sigma=3.0, eps=1e-6):
-    """One feature's windows, in order: (output tuples, state)."""
-    mean, var, updates, last = state or (ref_mean, max(ref_std * ref_std, eps), 0, -1)
-    out = []
-    for w in rows.itertuples(index=False):
-        dt = half_life if last < 0 else w.window_end - last
-        a = 1.0 if half_life <= 0 else 1.0 - math.pow(0.5, max(dt, 0.0) / half_life)
-        if updates < warmup:
-            a *= (updates + 1) / warmup
-        before = mean
-        mean = (1 - a) * mean + a * w.batch_mean
-        var = max((1 - a) * var + a * (w.batch_var + (w.batch_mean - before) * (w.batch_mean - mean)), eps)
-        updates, last = updates + 1, int(w.window_end)
-        z = abs(mean - ref_mean) / max(ref_std, eps)
-        if z > sigma:
-            mean = min(max(mean, ref_mean - sigma * ref_std), ref_mean + sigma * ref_std)
-        out.append((int(w.window_end), mean, var, z, z > sigma))
-    return out, (mean, var, updates, last)
+class Moments(NamedTuple):
+    """Mean and variance of what a scaler remembers, for one feature."""
+
+    mean: float
+    var: float
+
+    def mixed(self, share: float, mean: float, var: float, floor: float) -> "Moments":
+        """Those of a mixture that takes ``share`` from a window and the rest from memory: the
+        variance is what both have inside and what lies between their means."""
+        keep, apart = 1.0 - share, mean - self.mean
+        return Moments(self.mean + share * apart, max(keep * self.var + share * var + share * keep * apart**2, floor))
+
+
+def window_shares(ends: np.ndarray, last: int, updates: int, half_life: float, warmup: int) -> np.ndarray:
+    """How much of the memory each window replaces: half of it per half-life of time passed, less
+    while the scaler warms up. The first window ever counts as one half-life."""
+    passed = np.diff(ends, prepend=last if last >= 0 else ends[0] - half_life).astype(float)
+    full = 1.0 - np.exp2(-np.maximum(passed, 0.0) / half_life) if half_life > 0 else np.ones(len(ends))
+    return full * np.minimum((updates + 1.0 + np.arange(len(ends))) / max(warmup, 1), 1.0)
+
+
+def scaled_windows(rows: pd.DataFrame, ref_mean: float, ref_std: float, state=None, half_life=900.0, warmup=50,
+                   sigma=3.0, eps=1e-6):
+    """One feature's windows in order: (output frame, state). A mean that leaves the band of
+    ``sigma`` reference deviations is drawn back to its edge before the next window."""
+    mean, var, updates, last = state or (ref_mean, max(ref_std**2, eps), 0, -1)
+    ends = rows.window_end.to_numpy(np.int64)
+    shares = window_shares(ends, last, updates, half_life, warmup)
+    low, high, unit = ref_mean - sigma * ref_std, ref_mean + sigma * ref_std, max(ref_std, eps)
+
+    def drawn_back(m: Moments) -> Moments:
+        inside = abs(m.mean - ref_mean) <= sigma * unit
+        return m if inside else m._replace(mean=min(max(m.mean, low), high))
+
+    steps = zip(shares.tolist(), rows.batch_mean.tolist(), rows.batch_var.tolist())
+    seen = list(accumulate(steps, lambda m, step: drawn_back(m).mixed(*step, eps), initial=Moments(mean, var)))[1:]
+    reached = np.array([m.mean for m in seen])
+    z = np.abs(reached - ref_mean) / unit
+    out = pd.DataFrame({
+        "window_end": ends, "mean": np.where(z > sigma, np.clip(reached, low, high), reached),
+        "var": [m.var for m in seen], "z": z, "drifted": z > sigma,
+    })
+    return out, (float(out["mean"].iloc[-1]), seen[-1].var, updates + len(seen), int(ends[-1]))
 
 
 def scaler_stream(windows: DataFrame, reference: DataFrame, delay: str = "1 minute", **options) -> DataFrame:
@@ -134,9 +158,9 @@ def scaler_stream(windows: DataFrame, reference: DataFrame, delay: str = "1 minu
     def step(key, frames, state: GroupState):
         rows = _ordered(frames)
         first = rows.iloc[0]
-        out, after = ema_steps(rows, first.ref_mean, first.ref_std, state.get if state.exists else None, **options)
+        out, after = scaled_windows(rows, first.ref_mean, first.ref_std, state.get if state.exists else None, **options)
         state.update(after)
-        yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=names)
+        yield out.assign(segment=key[0], feature=key[1])[names]
 
     joined = windows.join(F.broadcast(reference), "feature")
     return joined.groupBy("segment", "feature").applyInPandasWithState(
@@ -150,8 +174,8 @@ def scaler_batch(windows: DataFrame, reference: DataFrame, **options) -> DataFra
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("window_end", kind="mergesort")
-        out, _ = ema_steps(rows, rows.ref_mean.iloc[0], rows.ref_std.iloc[0], None, **options)
-        return pd.DataFrame([(key[0], key[1], *o) for o in out], columns=names)
+        out, _ = scaled_windows(rows, rows.ref_mean.iloc[0], rows.ref_std.iloc[0], None, **options)
+        return out.assign(segment=key[0], feature=key[1])[names]
 
     return windows.join(F.broadcast(reference), "feature").groupBy("segment", "feature").applyInPandas(run, SCALER_OUT)
 
@@ -172,7 +196,6 @@ def standardise(rows: DataFrame, feature: str, mean, var, eps: float = 1e-6):
 
 
 # ----------------------------------------------------------- adaptive threshold
-BUFFER = 2000
 THRESHOLD_STATE = "segment string, alpha double, scores array<double>"
 
 
@@ -185,13 +208,13 @@ def buffer_threshold(alpha, scores, low: float = 1e-4, high: float = 0.5):
     return F.when(F.size(s) > 0, value).otherwise(F.lit(float("inf")))
 
 
-def _newest_scores(rows: DataFrame, order: list[str]) -> DataFrame:
-    """(segment, fresh): the last ``BUFFER`` scores in arrival order. Each of 64 slices of a
+def _newest_scores(rows: DataFrame, order: list[str], buffer: int) -> DataFrame:
+    """(segment, fresh): the last ``buffer`` scores in arrival order. Each of 64 slices of a
     segment is cut to the limit first, so a hot segment is never one group of rows."""
     slices = rows.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(64)))
     for keys in (["segment", "_s"], ["segment"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-        slices = slices.withColumn("_rn", rank).where(F.col("_rn") <= BUFFER)
+        slices = slices.withColumn("_rn", rank).where(F.col("_rn") <= buffer)
     packed = F.array_sort(F.collect_list(F.struct((-F.col("_rn")).alias("o"), "score")))
     return slices.groupBy("segment").agg(packed.alias("p")).select(
         "segment", F.transform("p", lambda x: x["score"]).alias("fresh")
@@ -199,8 +222,8 @@ def _newest_scores(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def threshold_step(state: DataFrame, rows: DataFrame, order: list[str], target: float = 0.01, gamma: float = 0.01,
-                   low: float = 1e-4, high: float = 0.5) -> DataFrame:
-    """One window: (segment, threshold, realised_fpr, n_reference, alpha, scores).
+                   low: float = 1e-4, high: float = 0.5, buffer: int = 2000) -> DataFrame:
+    """One window, with the newest ``buffer`` reference scores carried over: (segment, threshold, realised_fpr, n_reference, alpha, scores).
 
     ``rows`` (segment, score, order columns) are the window's scores of the reference
     population. alpha, scores are the next state."""
@@ -208,11 +231,11 @@ def threshold_step(state: DataFrame, rows: DataFrame, order: list[str], target:
     over = rows.join(cut.select("segment", "threshold"), "segment").groupBy("segment").agg(
         F.count(F.lit(1)).alias("n_reference"), F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("realised_fpr")
     )
-    j = cut.join(over, "segment", "left").join(_newest_scores(rows, order), "segment", "left").fillna(0, ["n_reference"]).fillna(0.0, ["realised_fpr"])
+    j = cut.join(over, "segment", "left").join(_newest_scores(rows, order, buffer), "segment", "left").fillna(0, ["n_reference"]).fillna(0.0, ["realised_fpr"])
     err = F.when(F.col("realised_fpr") > target, 1.0).otherwise(0.0)
     alpha = F.least(F.greatest(F.col("alpha") + gamma * (target - err), F.lit(low)), F.lit(high))
     merged = F.concat(F.col("scores"), F.coalesce("fresh", F.array().cast("array<double>")))
-    kept = F.slice(merged, F.greatest(F.size(merged) - BUFFER + 1, F.lit(1)), F.lit(BUFFER))
+    kept = F.slice(merged, F.greatest(F.size(merged) - buffer + 1, F.lit(1)), F.lit(buffer))
     return j.select("segment", "threshold", "realised_fpr", "n_reference", alpha.alias("alpha"), kept.alias("scores"))
 
 

@@ -5,6 +5,10 @@ time, less the allowed delay, passes the end of a window, the staged flows of th
 scored with the same operators as a batch run. All writes are per batch id and overwrite, so
 a batch that is run again leaves the same tables. The only value kept on the driver is the
 watermark. Flows of a window that is already closed go to a late table.
+
+Writes are keyed by a mark: twice the batch id, and one more for a flush after that batch. A
+flush therefore lies between two batches, and a later run sees what it closed. Staged blocks that
+no window can need again, and progress before the last two marks, are deleted.
 """
 
 from dataclasses import dataclass
@@ -52,6 +56,37 @@ class WindowCloser:
         path = fs.Path(self._path(name))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
+    def _folders(self, name: str) -> list[tuple[str, int]]:
+        """(path, number) of the ``key=number`` folders in a folder."""
+        if not self._exists(name):
+            return []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        names = [f.getPath().getName() for f in found if f.isDirectory()]
+        return [(f"{name}/{n}", int(n.split("=")[1])) for n in names if n.split("=")[-1].lstrip("-").isdigit()]
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _purge(self, previous: int) -> None:
+        """Drop staged blocks that end before the first open window, less the look-back."""
+        if previous == NEVER:
+            return
+        reach = self.lookback if self.delta_scope == "stream" else 0
+        first = (previous // self.seconds * self.seconds - reach) // self.block
+        for folder, _ in self._folders("staging"):
+            blocks = self._folders(folder)
+            old = [name for name, block in blocks if block < first]
+            for name in [folder] if len(old) == len(blocks) else old:
+                self._delete(name)
+
+    def _advance(self, now: int, mark: int) -> None:
+        self._write(self.spark.createDataFrame([(now,)], "watermark bigint"), "progress", mark)
+        marks = sorted((m, name) for name, m in self._folders("progress"))
+        for _, name in marks[:-2]:
+            self._delete(name)
+
     def watermark(self, before: int | None = None) -> int:
         if not self._exists("progress"):
             return NEVER
@@ -88,7 +123,9 @@ class WindowCloser:
 
     def process(self, flows: DataFrame, batch: int) -> None:
         """The ``foreachBatch`` function."""
+        batch = 2 * batch
         previous = self.watermark(batch)
+        self._purge(previous)
         fields = [f.strip().split(" ")[0] for f in self.schema.split(",")]
         rows = flows.select(*fields).persist()
         try:
@@ -103,20 +140,24 @@ class WindowCloser:
             now = max(previous, int(top) - self.delay)
             if now // self.seconds > previous // self.seconds:
                 self._close(previous, now, batch)
-            self._write(self.spark.createDataFrame([(now,)], "watermark bigint"), "progress", batch)
+            self._advance(now, batch)
         finally:
             rows.unpersist()
 
-    def flush(self, batch: int) -> None:
-        """Close every window that is still open, after a bounded source ended."""
-        previous = self.watermark()
+    def flush(self) -> None:
+        """Close every window that is still open, after a bounded source ended. Flows that a
+        later run brings for these windows are late."""
+        marks = [m for _, m in self._folders("progress")]
+        if not marks:
+            return
+        previous, batch = self.watermark(), max(marks) | 1
         top = self.spark.read.schema(f"{self.schema}, batch bigint, block bigint").parquet(self._path("staging")).agg(F.max("t")).first()[0]
         if top is None:
             return
         end = (int(top) // self.seconds + 1) * self.seconds
         if end > previous:
             self._close(previous, end, batch)
-            self._write(self.spark.createDataFrame([(end,)], "watermark bigint"), "progress", batch)
+            self._advance(end, batch)
 
     def results(self) -> DataFrame:
         return self.spark.read.parquet(self._path("results")).drop("batch")
@@ -132,7 +173,7 @@ def run_to_end(stream: DataFrame, closer: WindowCloser, checkpoint: str) -> None
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    closer.flush(1 << 40)
+    closer.flush()
 
 
 def tumbling_counts(stream: DataFrame, seconds: int, delay: str, at: str = "at") -> DataFrame:

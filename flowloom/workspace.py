@@ -37,11 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, name: str, max_rows: int = 2_000_000) -> DataFrame:
-    """A narrow lookup table, written once and counted. It is broadcast only when it has at
-    most ``max_rows`` rows; a larger one is joined by shuffle."""
-    table = materialize(df, name)
-    return F.broadcast(table) if table.count() <= max_rows else table
+def written_bytes(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def checked_broadcast(df: DataFrame, name: str, max_bytes: int = 32 << 20) -> DataFrame:
+    """A narrow lookup table, written once and measured. It is broadcast only when its files
+    have at most ``max_bytes``; a larger one is joined by shuffle."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(table) if written_bytes(df.sparkSession, path) <= max_bytes else table
 
 
 def drop_working_tables(spark: SparkSession) -> None:

@@ -34,3 +34,27 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     closer.process(rows(spark).where("t >= 300 AND t < 900"), 1)
     closer.process(rows(spark).where("t < 60"), 2)
     assert closer.late().count() == rows(spark).where("t < 60").count()
+
+
+def test_a_run_after_a_flush_loses_no_row(spark, tmp_path):
+    """Rows for a window that a flush closed are late; results and late rows make up the input."""
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+    flows = spark.range(110).select(
+        F.col("id").alias("t"), F.lit("s").alias("src_ip"), F.lit("d").alias("dst_ip"), F.col("id").cast("int").alias("id")
+    )
+    closer = WindowCloser(spark, root, SCHEMA, seconds=60)
+    for low, high in ((0, 90), (90, 110)):
+        flows.where(f"t >= {low} AND t < {high}").coalesce(1).write.mode("append").parquet(src)
+        run_to_end(spark.readStream.schema(SCHEMA).parquet(src), closer, f"{root}/checkpoint")
+        closer.flush()  # nothing is left to close
+    got = sorted((r.window_id, r.n_flows) for r in closer.results().where("n_flows > 0").collect())
+    assert got == [(0, 60), (1, 30)] and closer.late().count() == 20
+
+
+def test_staging_and_progress_stay_small(spark, tmp_path):
+    closer = WindowCloser(spark, str(tmp_path), SCHEMA, seconds=60, block=60)
+    for k in range(8):
+        closer.process(rows(spark).where(f"t >= {k * 300} AND t < {(k + 1) * 300}"), k)
+    folders = lambda name: [p for p in (tmp_path / name).iterdir() if p.is_dir()]
+    assert len(folders("staging")) <= 2 and len(folders("progress")) <= 2
+    assert closer.results().agg(F.sum("n_flows")).first()[0] >= rows(spark).where("t < 2340").count()
