@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.constants import MERIDIEM_PATTERN, TIMESTAMP_FORMATS
+from flowloom.workspace import checked_broadcast
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -47,9 +48,10 @@ def repair_clock(
     """Adds ``moved`` and shifts those rows of ``ts`` by 12 hours.
 
     Rows move on days where nothing shows an hour of 13 or later and no AM/PM mark. The
-    day table has one row per calendar day, so it is aggregated first and joined back.
+    day table has one row per calendar day, so it is aggregated first and sent to the rows; a
+    capture of a few days would be a few keys in a shuffle.
     """
-    days = full_day_clock(df, ts, raw)
+    days = checked_broadcast(full_day_clock(df, ts, raw), "clock-days")
     flagged = df.withColumn("day", F.to_date(ts)).join(days, "day", "left")
     move = (
         F.col(ts).isNotNull() & ~F.coalesce(F.col("is_24h"), F.lit(False))

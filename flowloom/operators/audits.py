@@ -4,13 +4,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.functions.clock import has_meridiem, parse_timestamps, repair_clock
 from flowloom.operators.ordered import exact_percentiles
+from flowloom.workspace import checked_broadcast
 
 
 def window_company(df: DataFrame, min_edges: int, keys: list[str] = ("window_id",)) -> DataFrame:
     """Adds whether a row's window holds benign rows, and whether it is large enough. Window
-    counts are aggregated and joined back; the window's rows never meet in one task."""
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y") == 0).alias("_benign")
+    counts are aggregated and sent to the rows; the window's rows never meet in one task."""
+    counts = checked_broadcast(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y") == 0).alias("_benign")),
+        "window-company",
     )
     joined = df.join(counts, list(keys))
     return joined.withColumns({

@@ -124,11 +124,18 @@ def fpr_at_tpr(df: DataFrame, score: str, positive: Column, targets: list[float]
     """(target, threshold, fpr): the threshold is a quantile of the positives' scores."""
     marked = df.select(F.col(score).alias("score"), positive.alias("_p"))
     cuts = exact_percentiles(marked.where("_p"), [], ["score"], [1.0 - x for x in targets])
-    # one row per target
-    shares = marked.where(~F.col("_p")).crossJoin(F.broadcast(cuts.select("prob", "value")))
-    return shares.groupBy("prob", "value").agg(
-        F.avg((F.col("score") >= F.col("value")).cast("double")).alias("fpr")
-    ).select(F.round(1.0 - F.col("prob"), 6).alias("target"), F.col("value").alias("threshold"), "fpr")
+    # one threshold per target, so one conditional mean each in a single pass over the negatives
+    found = sorted((c.prob, c.value) for c in cuts.select("prob", "value").collect())
+    if not found:
+        return cuts.select(F.lit(0.0).alias("target"), F.col("value").alias("threshold"), F.lit(0.0).alias("fpr"))
+    means = marked.where(~F.col("_p")).agg(*[
+        F.avg((F.col("score") >= F.lit(value)).cast("double")).alias(f"m{k}") for k, (_, value) in enumerate(found)
+    ])
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(round(1.0 - prob, 6)).alias("target"), F.lit(value).alias("threshold"), F.col(f"m{k}").alias("fpr"))
+        for k, (prob, value) in enumerate(found)
+    ]))
+    return means.select(rows.alias("r")).select("r.*").where(F.col("fpr").isNotNull())
 
 
 def oscr(df: DataFrame, score: str, unknown: Column, correct: Column) -> DataFrame:

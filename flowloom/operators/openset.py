@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from flowloom.operators.ordered import exact_percentiles, row_ranks
+from flowloom.workspace import checked_broadcast
 
 
 # ------------------------------------------------------------------ projections
@@ -169,7 +170,7 @@ def negative_pairs(edges: DataFrame, tie: list[str], seed: int = 0, key: str = "
     equal ends are dropped."""
     a = row_ranks(edges.select(key, "src", *tie), [key], [F.xxhash64(*tie, F.lit(seed)), *[F.col(c) for c in tie]], "_r")
     hosts = edges.select(key, F.explode(F.array("src", "dst")).alias("host")).distinct()
-    sizes = hosts.groupBy(key).agg(F.count(F.lit(1)).alias("_hosts"))
+    sizes = checked_broadcast(hosts.groupBy(key).agg(F.count(F.lit(1)).alias("_hosts")), "window-hosts")
     ranked = row_ranks(hosts, [key], [F.col("host")], "_h")
     pick = F.pmod(F.xxhash64(*tie, F.lit(seed + 1)), F.col("_hosts")).alias("_h")
     drawn = a.join(sizes, key).select(key, F.col("_r").alias("rank"), "src", pick)

@@ -74,7 +74,7 @@ def translate(
     """
     j = with_policy(scored, policy)
     if allow is not None:
-        hosts = allow.select(F.col("ip")).distinct()
+        hosts = checked_broadcast(allow.select(F.col("ip")).distinct(), "allowlist")
         j = j.join(hosts.select(F.col("ip").alias("src_ip"), F.lit(True).alias("_as")), "src_ip", "left")
         j = j.join(hosts.select(F.col("ip").alias("dst_ip"), F.lit(True).alias("_ad")), "dst_ip", "left")
         allowed = F.coalesce("_as", "_ad", F.lit(False))

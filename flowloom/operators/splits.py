@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom.operators.ordered import exact_percentiles, row_ranks, running_totals
 from flowloom.settings import SplitOptions
+from flowloom.workspace import checked_broadcast
 
 FAR = (1 << 62)
 
@@ -230,7 +231,7 @@ def split_attack_holdout(df, held_labels: list[str], options: SplitOptions, labe
 
 def split_per_file(df, options: SplitOptions, order: list[Column], file="source_file"):
     """Chronological fractions inside every source file, by exact rank."""
-    sizes = df.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = checked_broadcast(df.groupBy(file).agg(F.count(F.lit(1)).alias("_n")), "file-sizes")
     ranked = row_ranks(df, [file], order, "_rank").join(sizes, file)
     n_train = (F.col("_n") * options.train_frac).cast("bigint")
     n_both = (F.col("_n") * (options.train_frac + options.val_frac)).cast("bigint")

@@ -8,6 +8,7 @@ from flowloom.constants import EDGE_FEATURES, NODE_FEATURES
 from flowloom.operators import metrics
 from flowloom.operators.cleaning import zero_features
 from flowloom.operators.ordered import row_ranks
+from flowloom.workspace import checked_broadcast
 
 TOKENS = ["src_token", "dst_token", "protocol_token"]
 
@@ -50,7 +51,7 @@ def shuffle_columns(df: DataFrame, columns: list[str], ids: list[str], seed: int
 def rewired(edges: DataFrame, ids: list[str], seed: int = 0, key: str = "window_id") -> DataFrame:
     """Both ends of every edge replaced by hosts of its window, drawn by hash."""
     hosts = edges.select(key, F.explode(F.array("src", "dst")).alias("host")).distinct()
-    sizes = hosts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = checked_broadcast(hosts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "window-hosts")
     ranked = row_ranks(hosts, [key], [F.col("host")], "_h")
     out = edges.join(sizes, key)
     for i, end in enumerate(("src", "dst")):
