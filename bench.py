@@ -2,10 +2,12 @@
 
 import json
 import os
+import tempfile
 import time
 
 from flowloom.catalog import load
 from flowloom.session import build_session
+from flowloom.workspace import drop_working_tables
 
 HEADLINE = [
     "g01_graph_nodes", "g01_graph_edges", "g00_suspicious_hosts", "w01_time_since_contact", "a03_port_entropy",
@@ -18,11 +20,17 @@ HEADLINE = [
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="20g")
+    spark = build_session(
+        "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="20g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
+    )
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
     flows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    queries["a24_confusion"](spark, sf_dir).count()  # start the JVM's compilers
+    # The flow view that all queries read is made and timed first; it also starts the compilers.
+    start = time.time()
+    queries["a24_confusion"](spark, sf_dir).count()
+    staging = round(time.time() - start, 3)
     times = {}
     for name in HEADLINE:
         start = time.time()
@@ -33,7 +41,9 @@ def main():
     print(json.dumps({
         "metric": "headline_total_seconds", "value": total, "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")), "flows": flows, "graph_flows_per_second": round(flows / graph),
+        "staging_seconds": staging,
     }))
+    drop_working_tables(spark)
 
 
 if __name__ == "__main__":

@@ -348,7 +348,7 @@ def _(spark, sf):
 def _(spark, sf):
     src, root = new_path(spark, "live"), new_path(spark, "polls")
     rows = live(spark, sf)
-    rows.coalesce(1).write.parquet(src)
+    rows.write.parquet(src)
     writer = feeds.poll_writer(root, lambda: blocked(spark, sf), lambda: spark.createDataFrame([], "idempotency_key string"), ORDER, LIMITS)
     q = spark.readStream.schema(rows.schema).parquet(src).writeStream.foreachBatch(writer).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -423,8 +423,8 @@ def _(spark, sf):
     from flowloom.workspace import new_path
     path = new_path(spark, "audit")
     rows = actions(spark, sf).withColumn("day", F.floor(F.col("created") / 31536000))
-    inc.append_log(rows.where("line % 2 = 0").coalesce(1), path)
-    inc.append_log(rows.where("line % 2 = 1").coalesce(1), path)
+    inc.append_log(rows.where("line % 2 = 0"), path)
+    inc.append_log(rows.where("line % 2 = 1"), path)
     return spark.read.parquet(path).groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
