@@ -21,7 +21,9 @@ def canonical_names(header: list[str]) -> dict[str, str]:
 
 
 def inspect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, header, has_ips, has_timestamp, variant): one row per file, found in one job."""
+    """One row per file, found in one job: (file, header, has_ips, has_timestamp, variant,
+    has_protocol, n_columns, missing, renames). ``missing`` lists structural columns that no
+    header cell stands for, ``renames`` the (cell, name) pairs of the cells that are known."""
     lines = spark.read.option("encoding", ENCODING).text(paths).select(
         F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("_at")
     )
@@ -39,8 +41,16 @@ def inspect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.when(ips & has("flow id"), "traffic_labelling")
         .when(~ips & has(*spelled("dst_port")), "machine_learning_cve").otherwise("unknown")
     )
+    known = F.create_map(*[F.lit(x) for pair in HEADER_ALIASES.items() for x in pair])
+    pairs = F.filter(
+        F.transform(cells, lambda c: F.struct(c.alias("cell"), F.element_at(known, c).alias("name"))),
+        lambda p: p["name"].isNotNull(),
+    )
     return first.select(
-        "file", "header", ips.alias("has_ips"), has("timestamp").alias("has_timestamp"), variant.alias("variant")
+        "file", "header", ips.alias("has_ips"), has("timestamp").alias("has_timestamp"), variant.alias("variant"),
+        has(*spelled("protocol")).alias("has_protocol"), F.size(cells).alias("n_columns"),
+        F.array_except(F.array(*[F.lit(c) for c in STRUCTURAL_COLUMNS]), F.transform(pairs, lambda p: p["name"])).alias("missing"),
+        pairs.alias("renames"),
     )
 
 

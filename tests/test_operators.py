@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.constants import FEATURE_COLUMNS, RATE_COLUMNS
 from flowloom.functions import addresses, clock, ports
 from flowloom.operators import audits, cleaning, hosts, metrics, openset, ordered, rules, sampling, splits, studies, views
 from flowloom.plans.graph import cap_edges
@@ -212,3 +213,29 @@ def test_shuffle_keeps_every_value(spark):
     df = spark.range(500).select("id", F.col("id").alias("v"))
     out = studies.shuffle_columns(df, ["v"], ["id"]).toPandas()
     assert sorted(out.v) == list(range(500)) and (out.v != out.id).mean() > 0.9
+
+
+def test_file_report_names_what_a_header_lacks(spark, tmp_path):
+    from flowloom.sources.csv import inspect_files
+
+    (tmp_path / "a.csv").write_text(" Source IP,Destination IP, Protocol,Timestamp,Label\n1,2,6,3,x\n", encoding="latin-1")
+    (tmp_path / "b.csv").write_text("Destination Port,Other\n80,1\n", encoding="latin-1")
+    rows = {r.file[-5:]: r for r in inspect_files(spark, [str(tmp_path / f) for f in ("a.csv", "b.csv")]).collect()}
+    a, b = rows["a.csv"], rows["b.csv"]
+    assert (a.has_protocol, a.n_columns, a.missing) == (True, 5, ["src_port", "dst_port"])
+    assert ("source ip", "src_ip") in [(p.cell, p.name) for p in a.renames]
+    assert (b.has_protocol, b.n_columns) == (False, 2) and "src_ip" in b.missing and len(b.renames) == 1
+
+
+def test_windows_above_any_size_keep_all_edges(spark):
+    from flowloom.plans.graph import build_edges
+    from flowloom.settings import WindowOptions
+
+    assert WindowOptions().max_edges is None
+    edges = spark.range(205_000).select(
+        F.lit(0).alias("window_id"), F.col("id"), F.lit(0.0).alias("window_start"), F.lit(60.0).alias("window_end"),
+        *[F.lit(1.0).alias(c) for c in FEATURE_COLUMNS + RATE_COLUMNS], F.lit(1).alias("src"), F.lit(2).alias("dst"),
+        *[F.lit(1).alias(c) for c in ("src_token", "dst_token", "protocol_token", "y", "src_port", "dst_port", "protocol")],
+        F.lit(1).alias("t"), F.lit(0.0).alias("dt_pair"), F.lit(0.0).alias("dt_src"), F.lit(2.0).alias("total_bytes"),
+    )
+    assert build_edges(edges, WindowOptions(add_reverse_edges=False), ["id"]).count() == 205_000
