@@ -7,18 +7,19 @@ but a count and a checksum of the links reaches the driver.
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.base import drop_path
-from flowloom.workspace import new_path
+from flowloom.llm.base import drop_path, stored
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, paths: list[str]) -> DataFrame:
     """Link the neighbours of a node to the least of them and the node: those above the node in
-    a large star, the node and those below it in a small star."""
+    a large star, the node and those below it in a small star. The minima are written (to a path
+    added to ``paths``), so that the join with them can split the links of a hub."""
     if large:
         near = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("_m"))
+    least, path = stored(near.groupBy("u").agg(F.min("v").alias("_m")), "least")
+    paths.append(path)
     met = near.join(least.select("u", F.least("u", "_m").alias("m")), "u")
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,14 +36,14 @@ def components(links: DataFrame) -> DataFrame:
     links change nothing; rows with a null end are ignored; no links give no rows."""
     spark = links.sparkSession
     # Written first, so that what makes the links runs once.
-    previous, path = None, new_path(spark, "links")
-    links.select("u", "v").where(F.col("u") != F.col("v")).distinct().write.parquet(path)
-    links = spark.read.parquet(path)
+    previous = None
+    links, path = stored(links.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "links")
     while True:
-        old, path = path, new_path(spark, "links")
-        _star(_star(links, True), False).write.parquet(path)
-        links = spark.read.parquet(path)
-        drop_path(spark, old)
+        done = [path]
+        half, other = stored(_star(links, True, done), "links")
+        links, path = stored(_star(half, False, done), "links")
+        for finished in (*done, other):
+            drop_path(spark, finished)
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == previous or not state[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
