@@ -158,6 +158,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def across_links(roots: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[int]]:
+    """Pairs of members of different components whose sets are similar, as far as they connect
+    components. Overlaps with one member are counted over the lists of its items, for all others
+    at once; no pair is stored unless it is a link."""
+    size = np.array([len(x) for x in sets])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(item, kind="stable")
+    lists, start = member[order], np.searchsorted(item[order], np.arange(item.max() + 2))
+    begin = np.cumsum(size) - size
+    component = np.unique(roots, return_inverse=True)[1]
+    us, vs = [], []
+    for u in range(len(sets)):
+        if (component == component[u]).all():
+            break
+        own = item[begin[u] : begin[u] + size[u]]
+        low, count = start[own], start[own + 1] - start[own]
+        places = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(lists[places], minlength=len(sets))
+        alike = (common >= threshold * (size[u] + size - common)) & (component != component[u])
+        for v in np.flatnonzero(alike).tolist():
+            if component[v] != component[u]:
+                us.append(u)
+                vs.append(v)
+                component[component == component[v]] = component[u]
+    return us, vs
+
+
+def _links_across(threshold: float):
+    """Links between components among the rows of one item; rows are held until it ends."""
+
+    def resolve(rows: list[tuple[int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
+        us, vs = across_links(np.array([r[1] for r in rows]), [r[2] for r in rows], threshold)
+        return [rows[k][0] for k in us], [rows[k][0] for k in vs]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        us, vs = [], []
+        for batch in batches:
+            items, digests, roots = (batch.column(k).to_pylist() for k in range(3))
+            for k, item in enumerate(items):
+                if item != last and held:
+                    a, b = resolve(held)
+                    us, vs, held = us + a, vs + b, []
+                last = item
+                held.append((digests[k], roots[k], batch.column(3)[k].values.to_numpy()))
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            us, vs = [], []
+        if held:
+            a, b = resolve(held)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+
+    return work
+
+
 def repeated_paragraphs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
     width: int = 5, least: int = 20, recall: float = 0.999,
@@ -220,14 +275,12 @@ def repeated_paragraphs(
     open_runs = placed.groupBy("item").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where(
         F.col("_a") != F.col("_b")
     ).select("item")
-    rest = materialize(placed.join(open_runs, "item", "left_semi"), "open-runs")
-    other = rest.select("item", F.col("digest").alias("v"), F.col("root").alias("_root"), F.col("size").alias("_size"))
-    alike = F.least("size", "_size") >= threshold * F.greatest("size", "_size")
-    across = (
-        rest.withColumnRenamed("digest", "u").join(other, "item")
-        .where((F.col("root") < F.col("_root")) & alike).select("u", "v").distinct()
+    rest = placed.join(open_runs, "item", "left_semi").join(sets, "digest").select("item", "digest", "root", "runs")
+    more = (
+        rest.repartition("item").sortWithinPartitions("item", "digest")
+        .mapInArrow(_links_across(threshold), "u bigint, v bigint")
     )
-    roots = components(links.unionAll(_verified(across, sets, threshold)))
+    roots = components(links.unionAll(more))
 
     # Components of one paragraph have nothing to remove.
     place = F.struct("_id", "number")
