@@ -158,10 +158,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def across_links(roots: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[int]]:
+def across_links(
+    roots: np.ndarray, sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None
+) -> tuple[list[int], list[int]]:
     """Pairs of members of different components whose sets are similar, as far as they connect
     components. Overlaps with one member are counted over the lists of its items, for all others
-    at once; no pair is stored unless it is a link."""
+    at once; no pair is stored unless it is a link. With ``side``, members of side 0 are compared
+    with those of side 1 only; members of side 2 with each other."""
+    side = np.full(len(sets), 2) if side is None else side
     size = np.array([len(x) for x in sets])
     _, item = np.unique(np.concatenate(sets), return_inverse=True)
     member = np.repeat(np.arange(len(sets)), size)
@@ -173,11 +177,14 @@ def across_links(roots: np.ndarray, sets: list[np.ndarray], threshold: float) ->
     for u in range(len(sets)):
         if (component == component[u]).all():
             break
+        if side[u] == 1:
+            continue
         own = item[begin[u] : begin[u] + size[u]]
         low, count = start[own], start[own + 1] - start[own]
         places = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
         common = np.bincount(lists[places], minlength=len(sets))
         alike = (common >= threshold * (size[u] + size - common)) & (component != component[u])
+        alike &= side == (2 if side[u] == 2 else 1)
         for v in np.flatnonzero(alike).tolist():
             if component[v] != component[u]:
                 us.append(u)
@@ -186,24 +193,72 @@ def across_links(roots: np.ndarray, sets: list[np.ndarray], threshold: float) ->
     return us, vs
 
 
+MEMBERS = 1_000  # paragraphs of one item on each side of a group, on average
+
+
+def item_groups(placed: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """(item, kind, low, high, side, digest, root): groups in which all pairs of paragraphs of one
+    item and different components meet. Of each item, the component with most paragraphs is not
+    compared with itself: its parts meet parts of the rest (kind 0), and the rest meets itself
+    part by part (kind 1). Parts are hashed, of about ``members`` paragraphs, so no group grows
+    with the item."""
+    by_root = placed.groupBy("item", "root").agg(F.count("*").alias("n"))
+    parts = lambda n: F.ceil(n / members).cast("int")
+    open_items = materialize(
+        by_root.groupBy("item").agg(
+            F.max(F.struct("n", "root")).alias("_main"), F.sum("n").alias("_all"), F.count("*").alias("_m")
+        ).where(F.col("_m") > 1).select(
+            "item", F.col("_main.root").alias("_main"), parts(F.col("_main.n")).alias("_parts"),
+            parts(F.col("_all") - F.col("_main.n")).alias("_others"),
+        ),
+        "open-items",
+    )
+
+    def group(kind: int, low, high, side):
+        return F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), side.alias("side"))
+
+    def each(count: str):
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    own = F.col("_own")
+    main = F.transform(each("_others"), lambda k: group(0, own, k, F.lit(0)))
+    rest = F.concat(
+        F.transform(each("_parts"), lambda k: group(0, k, own, F.lit(1))),
+        F.transform(each("_others"), lambda k: group(
+            1, F.least(own, k), F.greatest(own, k), F.when(own == k, 2).when(own < k, 0).otherwise(1))),
+    )
+    is_main = F.col("root") == F.col("_main")
+    numbered = placed.join(open_items, "item").withColumn(
+        "_own", F.pmod(F.xxhash64("digest"), F.when(is_main, F.col("_parts")).otherwise(F.col("_others"))).cast("int")
+    )
+    return numbered.select("item", "digest", "root", F.explode(F.when(is_main, main).otherwise(rest)).alias("_g")).select(
+        "item", "_g.kind", "_g.low", "_g.high", "_g.side", "digest", "root"
+    )
+
+
+GROUP = ["item", "kind", "low", "high"]
+
+
 def _links_across(threshold: float):
-    """Links between components among the rows of one item; rows are held until it ends."""
+    """Links between components among the rows of one group, which are held until it ends."""
 
-    def resolve(rows: list[tuple[int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
-        us, vs = across_links(np.array([r[1] for r in rows]), [r[2] for r in rows], threshold)
-        return [rows[k][0] for k in us], [rows[k][0] for k in vs]
+    def resolve(rows: list[tuple[int, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
+        digests, roots, side, sets = zip(*rows, strict=True)
+        us, vs = across_links(np.array(roots), list(sets), threshold, np.array(side))
+        return [digests[k] for k in us], [digests[k] for k in vs]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         us, vs = [], []
         for batch in batches:
-            items, digests, roots = (batch.column(k).to_pylist() for k in range(3))
-            for k, item in enumerate(items):
-                if item != last and held:
+            groups = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            side, digests, roots = (batch.column(k).to_pylist() for k in range(4, 7))
+            for k, group in enumerate(groups):
+                if group != last and held:
                     a, b = resolve(held)
                     us, vs, held = us + a, vs + b, []
-                last = item
-                held.append((digests[k], roots[k], batch.column(3)[k].values.to_numpy()))
+                last = group
+                held.append((digests[k], roots[k], side[k], batch.column(7)[k].values.to_numpy()))
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
             us, vs = [], []
         if held:
@@ -272,12 +327,9 @@ def repeated_paragraphs(
         .select("digest", "item", "size", F.coalesce("root", "digest").alias("root")),
         "prefix-runs",
     )
-    open_runs = placed.groupBy("item").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where(
-        F.col("_a") != F.col("_b")
-    ).select("item")
-    rest = placed.join(open_runs, "item", "left_semi").join(sets, "digest").select("item", "digest", "root", "runs")
+    rest = item_groups(placed).join(sets, "digest").select(*GROUP, "side", "digest", "root", "runs")
     more = (
-        rest.repartition("item").sortWithinPartitions("item", "digest")
+        rest.repartition(*GROUP).sortWithinPartitions(*GROUP, "digest")
         .mapInArrow(_links_across(threshold), "u bigint, v bigint")
     )
     roots = components(links.unionAll(more))

@@ -75,3 +75,27 @@ def test_bands_keep_recall():
         bands, rows = paragraphs.tune_bands(threshold)
         assert 1 - (1 - threshold**rows) ** bands >= 0.999
         assert 1 - (1 - (threshold / 2) ** rows) ** bands <= 0.5
+
+
+def test_a_hot_item_is_cut_into_groups_in_which_all_components_meet(spark):
+    rnd = random.Random(3)
+    # One item with a large component and many small ones, and one item of a single component.
+    rows = [(k, 7, 1 if k < 300 else rnd.randrange(2, 60)) for k in range(500)] + [(k, 8, 1) for k in range(300)]
+    placed = spark.createDataFrame(rows, "digest bigint, item bigint, root bigint")
+    groups = {}
+    for r in paragraphs.item_groups(placed, 20).collect():
+        assert r.item == 7
+        groups.setdefault((r.kind, r.low, r.high), []).append((r.digest, r.root, r.side))
+    assert max(map(len, groups.values())) <= 100
+    met = {
+        frozenset((a, b)) for members in groups.values() for a, x, s in members for b, y, t in members
+        if x != y and (s, t) in ((0, 1), (2, 2))
+    }
+    assert met == {frozenset((a, b)) for a, _, x in rows[:500] for b, _, y in rows[:500] if x != y}
+
+
+def test_removals_match_brute_force_when_items_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(paragraphs.item_groups, "__defaults__", (2,))
+    rows = corpus(5)
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, SCHEMA).repartition(3)).distinct().collect()
+    assert {(str(r.doc_id), r.paragraph): (r.n_words, str(r.keeper_id), r.keeper_paragraph) for r in got} == plain(rows)
