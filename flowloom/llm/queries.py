@@ -10,6 +10,7 @@ from flowloom.llm.base import table
 from flowloom.llm.decontamination import contaminations
 from flowloom.llm.mixing import mixture
 from flowloom.llm.paragraphs import repeated_paragraphs
+from flowloom.llm.passages import repeated_passages
 from flowloom.llm.repeats import remove_repeats
 from flowloom.llm.simhash import simhash_groups
 from flowloom.llm.spot_signatures import edited_fingerprints
@@ -86,7 +87,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """Whole lines (``first_word`` is null), and passages of 50 words or more wherever they stand."""
+    docs = table(spark, sf_dir, "documents")
+    passages = repeated_passages(docs)
+    lines = repeated_paragraphs(docs).withColumn("first_word", F.lit(None).cast("bigint"))
+    return lines.unionByName(passages)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
