@@ -17,7 +17,7 @@ A bucket identifier is a 64-bit polynomial of the bytes; identifiers of any stre
 the same prefix sums, so those of later rounds reuse what earlier rounds computed, and a pair of
 (q-gram, stretch) identifiers names a bucket from round 1 on. Buckets are reduced to their
 least document by combining aggregates; only what rounds 0 and 1 left of a bucket, if it has at
-most ``MANY`` parts, is held by one task.
+most ``MANY`` openings, is held by one task.
 """
 
 import hashlib
@@ -34,8 +34,8 @@ from flowloom.workspace import materialize
 GRAM = 32
 BLOCK = 1 << 20  # bytes hashed at a time; positions in a block fit in POSITION bits
 POSITION = np.uint64(BLOCK - 1)
-TAG_BITS, BACK_BITS = 18, 7
-MANY = 2_000  # parts of a bucket from which its windows are aggregated instead of held
+BACK_BITS = 7
+MANY = 2_000  # openings of a bucket from which its windows are aggregated instead of held
 HELD = 20_000  # spans resolved at a time
 
 
@@ -134,20 +134,17 @@ def _repeated_before(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     return again
 
 
-# Where an anchor's windows lie: place of the first window, number of windows less one, tag of
-# the text (rows that share an id are told apart by it), and whether the text has them earlier.
-def _pack(place, more, tag, again) -> np.ndarray:
-    return ((place << BACK_BITS | more) << TAG_BITS | tag) << 1 | again
+# Where an anchor's windows lie: place of the first window, number of windows less one, and
+# whether the text has them earlier. Rows that share an id are told apart by a 64-bit tag.
+def _pack(place, more, again) -> np.ndarray:
+    return (place << BACK_BITS | more) << 1 | again
 
 
 def _unpack(packed: np.ndarray):
-    tag = packed >> 1 & ((1 << TAG_BITS) - 1)
-    more = packed >> 1 + TAG_BITS & ((1 << BACK_BITS) - 1)
-    return packed >> 1 + TAG_BITS + BACK_BITS, more, tag
+    return packed >> 1 + BACK_BITS, packed >> 1 & ((1 << BACK_BITS) - 1), packed & 1
 
 
-TAG = (1 << TAG_BITS) - 1
-ANCHOR_SCHEMA = "gram bigint, span bigint, _id bigint, place bigint"
+ANCHOR_SCHEMA = "gram bigint, span bigint, _id bigint, _tag bigint, place bigint"
 
 
 def _sample(length: int):
@@ -176,10 +173,11 @@ def _anchor_rows(held: list, ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatc
     text, place, more, gram, span = (np.concatenate(x) for x in zip(*held, strict=True))
     both = _mix(gram) + span + _mix(text.astype(np.uint64) + np.uint64(1))
     again = _repeated_before(both, place)
-    packed = _pack(place, more, tags[text], again)
+    packed = _pack(place, more, again)
     return pa.record_batch(
-        [pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[text]), pa.array(packed)],
-        names=["gram", "span", "_id", "place"],
+        [pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[text]), pa.array(tags[text]),
+         pa.array(packed)],
+        names=["gram", "span", "_id", "_tag", "place"],
     )
 
 
@@ -193,7 +191,7 @@ def _grams_only(length: int):
     return work
 
 
-SPAN_SCHEMA = "gram bigint, _id bigint, place bigint, many boolean, bytes binary"
+SPAN_SCHEMA = "gram bigint, _id bigint, _tag bigint, place bigint, many boolean, bytes binary"
 
 
 def _spans(length: int):
@@ -201,17 +199,18 @@ def _spans(length: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"gram": [], "_id": [], "place": [], "many": [], "bytes": []}
-            for one, text, listed in zip(*(batch.column(k) for k in range(3)), strict=True):
+            rows = {"gram": [], "_id": [], "_tag": [], "place": [], "many": [], "bytes": []}
+            for one, tag, text, listed in zip(*(batch.column(k) for k in range(4)), strict=True):
                 data, fields = memoryview(text.as_buffer() or b""), listed.values.flatten()
                 first, more, _ = _unpack(fields[0].to_numpy())
                 ends = (first + more + length).tolist()
                 rows["gram"] += fields[1].to_pylist()
                 rows["_id"] += [one.as_py()] * len(ends)
+                rows["_tag"] += [tag.as_py()] * len(ends)
                 rows["place"] += fields[0].to_pylist()
                 rows["many"] += fields[2].to_pylist()
                 rows["bytes"] += [bytes(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.record_batch(
                 [pa.array(column, kind) for column, kind in zip(rows.values(), kinds, strict=True)],
                 names=list(rows),
@@ -253,7 +252,7 @@ def _repeats_in_buckets(length: int):
     def resolve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(held).combine_chunks()
         row, place, key = _window_ids(batch, length)
-        one, tag = batch["_id"].to_numpy()[row], _unpack(batch["place"].to_numpy())[2][row]
+        one, tag = batch["_id"].to_numpy()[row], batch["_tag"].to_numpy()[row]
         order = np.lexsort((place, tag, one, key))
         same = key[order[1:]] == key[order[:-1]]
         start = np.maximum.accumulate(np.where(np.concatenate([[False], same]), 0, np.arange(len(order))))
@@ -264,8 +263,10 @@ def _repeats_in_buckets(length: int):
         fresh[1:] = (np.diff(place[gone]) != 1) | (np.diff(row[gone]) != 0)
         first = np.flatnonzero(fresh)
         more = np.diff(np.append(first, len(gone))) - 1
-        packed = _pack(place[gone[first]], more, tag[gone[first]], 0)
-        return pa.record_batch([pa.array(one[gone[first]]), pa.array(packed)], names=["_id", "place"])
+        packed = _pack(place[gone[first]], more, 0)
+        return pa.record_batch(
+            [pa.array(one[gone[first]]), pa.array(tag[gone[first]]), pa.array(packed)], names=["_id", "_tag", "place"]
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -289,10 +290,10 @@ def _single_windows(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, place, key = _window_ids(batch, length)
-            tag = _unpack(batch["place"].to_numpy())[2][row]
             yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(batch["_id"].to_numpy()[row]), pa.array(_pack(place, 0, tag, 0))],
-                names=["key", "_id", "place"],
+                [pa.array(key.view(np.int64)), pa.array(batch["_id"].to_numpy()[row]),
+                 pa.array(batch["_tag"].to_numpy()[row]), pa.array(_pack(place, 0, 0))],
+                names=["key", "_id", "_tag", "place"],
             )
 
     return work
@@ -342,9 +343,8 @@ def remove_repeats(
     text = text_or_empty(text_col)
     texts = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_id"),
-        F.xxhash64(text).bitwiseAND(TAG).alias("_tag"), text.alias("_text"),
+        F.xxhash64(text).alias("_tag"), text.alias("_text"),
     )
-    tag_of = F.shiftright("place", 1).bitwiseAND(TAG).alias("_tag")
     own = F.col("place").bitwiseAND(1) == 1
 
     # Round 0: q-gram buckets with more than one anchor.
@@ -364,28 +364,33 @@ def remove_repeats(
         shared.groupBy("gram", "span").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")),
         "bucket-parts",
     )
-    split = parts.groupBy("gram").agg(F.count("*").alias("_m")).where(F.col("_m") > 1).select(
-        "gram", (F.col("_m") > MANY).alias("many")
-    )
+    split = parts.groupBy("gram").agg(F.count("*").alias("_m")).where(F.col("_m") > 1).select("gram")
     several = parts.where(F.col("_n") > 1)
     covered = materialize(
         shared.join(several, ["gram", "span"]).where(own | (F.col("_id") > F.col("_first")))
-        .select("_id", "place"),
+        .select("_id", "_tag", "place"),
         "covered-anchors",
     )
     release(docs.sparkSession)
     # The first anchors of the parts of split buckets, with the bytes around them.
     openings = materialize(
         shared.where(~own).join(parts.join(split, "gram"), ["gram", "span"])
-        .where(F.col("_id") == F.col("_first")).select("_id", "place", "gram", "many"),
+        .where(F.col("_id") == F.col("_first")).select("_id", "_tag", "place", "gram"),
         "openings",
     )
+    # Counted in openings: texts that share the least id all open a part.
+    crowded = materialize(
+        openings.groupBy("gram").agg(F.count("*").alias("_n")).where(F.col("_n") > MANY)
+        .select("gram", F.lit(True).alias("_many")),
+        "crowded-buckets",
+    )
+    openings = openings.join(crowded, "gram", "left").withColumn("many", F.coalesce("_many", F.lit(False)))
     for path in (grams_path, shared_path, parts_path):
         drop_path(docs.sparkSession, path)
     release(docs.sparkSession)
-    listed = openings.groupBy("_id", tag_of).agg(F.collect_list(F.struct("place", "gram", "many")).alias("_places"))
+    listed = openings.groupBy("_id", "_tag").agg(F.collect_list(F.struct("place", "gram", "many")).alias("_places"))
     spans = materialize(
-        texts.join(listed.hint("shuffle_hash"), ["_id", "_tag"]).select("_id", "_text", "_places")
+        texts.join(listed.hint("shuffle_hash"), ["_id", "_tag"]).select("_id", "_tag", "_text", "_places")
         .mapInArrow(_spans(length), SPAN_SCHEMA),
         "spans",
     )
@@ -395,19 +400,18 @@ def remove_repeats(
     # larger ones are reduced by combining aggregates.
     narrow = (
         spans.where(~F.col("many")).repartition("gram").sortWithinPartitions("gram", "_id", "place")
-        .mapInArrow(_repeats_in_buckets(length), "_id bigint, place bigint")
+        .mapInArrow(_repeats_in_buckets(length), "_id bigint, _tag bigint, place bigint")
     )
     windows = (
-        spans.where("many").mapInArrow(_single_windows(length), "key bigint, _id bigint, place bigint")
-        .withColumn("_tag", tag_of)
+        spans.where("many").mapInArrow(_single_windows(length), "key bigint, _id bigint, _tag bigint, place bigint")
     )
     by_text = windows.groupBy("key", "_id", "_tag").agg(F.min("place").alias("_place"))
     by_key = by_text.groupBy("key").agg(F.min("_id").alias("_first"))
     wide = windows.join(by_text, ["key", "_id", "_tag"]).join(by_key, "key").where(
         (F.col("_id") > F.col("_first")) | (F.col("place") > F.col("_place"))
     )
-    again = narrow.unionAll(wide.select("_id", "place"))
-    gone = covered.unionAll(again).groupBy("_id", tag_of).agg(
+    again = narrow.unionAll(wide.select("_id", "_tag", "place"))
+    gone = covered.unionAll(again).groupBy("_id", "_tag").agg(
         F.collect_list("place").alias("_gone")
     )
     cut = texts.join(gone.hint("shuffle_hash"), ["_id", "_tag"], "left").select("_id", "_text", "_gone")

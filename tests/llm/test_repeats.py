@@ -78,3 +78,15 @@ def test_repeats_match_brute_force(spark, monkeypatch, length, block, many):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_thousands_of_texts_without_an_id_are_told_apart(spark):
+    rnd = random.Random(12)
+    some = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for k in range(4000):
+        twice = some(120)
+        rows.append((None, some(k % 50) + twice + "-" + (twice if k % 2 else some(20)), k % 2 * 120))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = repeats.remove_repeats(df).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == sorted((len(r[1]), r[2]) for r in rows)
