@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import toxicity
+from flowloom.llm import queries_words, toxicity
 from flowloom.llm.base import table
 from flowloom.llm.decontamination import contaminations
 from flowloom.llm.mixing import mixture
@@ -105,6 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_repeated_paragraphs": op10_repeated_paragraphs,
-}
+} | queries_words.QUERIES
 
-ORACLES: dict[str, str] = {"op3_warc_records": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_warc_records": OP3_SQL} | queries_words.ORACLES
