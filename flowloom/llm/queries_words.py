@@ -2,11 +2,24 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm.base import table
+from flowloom.llm.merge_rounds import decode, encode
 from flowloom.llm.prefix_trie import branched, paths, prefix_trie
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; digests of the ids and of the decoded text."""
+    coded = decode(encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix of the rebuilt conversations, with its counts; see ``prefix_trie``."""
@@ -45,6 +58,7 @@ LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op12_merge_rounds": op12_merge_rounds,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
