@@ -14,7 +14,7 @@ IS_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 NEWLINE = 10
 MULTIPLIER = 0x9E3779B97F4A7C15
 BYTE_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-POWERS = np.multiply.accumulate(np.concatenate([[1], np.full(255, MULTIPLIER, np.uint64)]).astype(np.uint64))
+POWERS = np.multiply.accumulate(np.append(np.uint64(1), np.full(255, MULTIPLIER, np.uint64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

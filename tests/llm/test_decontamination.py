@@ -106,3 +106,20 @@ def test_empty_tables(spark):
     assert D.contaminations(docs.limit(0), bench).count() == 0
     assert D.contaminations(docs, bench.limit(0)).count() == 0
     assert D.decontaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_long_words_that_differ_late_are_different_words():
+    rnd = random.Random(5)
+    stem = "".join(rnd.choices("abcdeé", k=30))
+    listed = {stem[:n] + end for n in range(4, 30) for end in ("", "a", "b", "ation", "ational", "10", "01", "x" * 300)}
+    listed |= {f"{stem[:8]}{k}" for k in range(3000)} | {w[::-1] for w in listed}
+    starts, ids = word_ids(np.frombuffer(" ".join(sorted(listed)).encode(), np.uint8))
+    assert len(starts) == len(listed) == len(set(ids.tolist()))
+
+
+def test_words_of_equal_beginnings_are_no_match(spark):
+    item = "which international conference considered transport problems during productive negotiations between governments"
+    text = "which internal confession considers transparent probability during product negotiable betweenness governing"
+    docs = spark.createDataFrame([(1, text), (2, f"so {item} then")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert [r["doc_id"] for r in D.contaminations(docs, items).collect()] == [2]
