@@ -77,6 +77,19 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
     return found
 
 
+def _number(digits: bytes, what: str) -> int:
+    """A number that fits a 64-bit column."""
+    if not re.fullmatch(rb"-?[0-9]{1,19}", digits) or not -(1 << 63) <= int(digits) < 1 << 63:
+        raise Damage(what)
+    return int(digits)
+
+
+def _ascii(value: bytes, what: str) -> str:
+    if not value.isascii():
+        raise Damage(what)
+    return value.decode()
+
+
 def parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record whose version line is at ``at``, and where it ends."""
     if not re.compile(rb"WARC/[0-9]\.[0-9]\r\n").match(data, at):
@@ -85,30 +98,29 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     if body < 0:
         raise Damage("header end")
     fields = _fields(data[at:body])
-    length = fields.get(b"content-length", b"")
-    if not length.isdigit():
+    length = _number(fields.get(b"content-length", b""), "length")
+    begin, end = body + 4, body + 4 + length
+    if length < 0:
         raise Damage("length")
-    begin, end = body + 4, body + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damage("record end")
     block = data[begin:end]
     if b"warc-block-digest" in fields and fields[b"warc-block-digest"] != b"sha1:" + digest(block).encode():
         raise Damage("block digest")
     http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields.get(b"warc-type", b"").decode()
-    said = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
+    kind = _ascii(fields.get(b"warc-type", b""), "record type")
+    said = _ascii(fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:"), "payload digest")
     size = len(payload)
     if kind == "revisit":
-        stated = _fields(http).get(b"content-length", b"")
-        if not stated.isdigit():
+        size, payload = _number(_fields(http).get(b"content-length", b""), "stated length"), None
+        if size < 0:
             raise Damage("stated length")
-        size, payload = int(stated), None
     elif said and said != digest(payload):
         raise Damage("payload digest")
     name, other = ID.match(fields.get(b"warc-record-id", b"")), ID.match(fields.get(b"warc-refers-to", b""))
     return {
-        "page_id": int(name[1]) if name else None, "record_type": kind, "payload_bytes": size,
-        "payload_digest": said, "refers_to": int(other[1]) if other else None, "payload": payload,
+        "page_id": _number(name[1], "id") if name else None, "record_type": kind, "payload_bytes": size,
+        "payload_digest": said, "refers_to": _number(other[1], "referred id") if other else None, "payload": payload,
         "url": fields.get(b"warc-target-uri", b"").decode(errors="replace") or None,
     }, end + 4
 

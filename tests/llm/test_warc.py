@@ -2,6 +2,7 @@ import gzip
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from flowloom.llm import warc
@@ -102,3 +103,31 @@ def test_plain_records_and_mixed_members():
     check(b"".join(members[:3]) + several + b"".join(members[6:]), {4}, 12)
     assert list(warc.salvage(b"")) == []
     assert [x[0] for x in warc.salvage(os.urandom(5000).replace(b"\x1f", b"\x1e"))] == ["gap"]
+
+
+def test_any_changed_header_byte_is_a_record_or_a_gap():
+    """Also what no 64-bit number or ASCII text can hold ends as damage, never as an error."""
+    raw, _ = archive(3)
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("record_type", pa.string())])
+    data = bytearray(b"".join(raw))
+    head = raw[0].index(b"\r\n\r\n")
+    places = [*range(head + 120), *range(len(raw[0]), len(raw[0]) + head + 120)]
+    for place in places:
+        for value in (0xFF, 0x00, ord("9"), ord("-"), ord(":"), 0x0D):
+            changed = data.copy()
+            changed[place] = value
+            found = list(warc.salvage(bytes(changed)))
+            records = [what for kind, _, _, what in found if kind == "record"]
+            assert len(records) >= 2 and max(end for _, _, end, _ in found) == len(data)
+            pa.Table.from_pylist([{k: r[k] for k in schema.names} for r in records], schema)
+
+
+@pytest.mark.parametrize("field,value", [
+    (b"WARC-Type: response", b"WARC-Type: resp\xffonse"), (b"Digest: sha1:", b"Digest: sha1:\xe9"),
+    (b"<urn:page:1>", b"<urn:page:%s>" % (b"7" * 30)), (b"<urn:page:1>", b"<urn:page:%s>" % (b"7" * 5000)),
+    (b"Content-Length: ", b"Content-Length: " + b"1" * 5000),
+])
+def test_fields_that_cannot_be_read_are_gaps(field, value):
+    raw, _ = archive(3)
+    assert field in raw[1]
+    check(raw[0] + raw[1].replace(field, value) + raw[2], {1}, 3)
