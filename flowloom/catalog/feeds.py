@@ -10,8 +10,9 @@ from flowloom.catalog.operations import BASE, CFG, CONFIGURED, HOSTS, INCIDENTS,
 from flowloom.catalog.registry import query
 from flowloom.catalog.tables import CLEAN, FLOWS, LEDGER, LIVE, LIVE_SCORED, TIE, WEEK, clean, flows, ledger, live, live_scored, table, windowed, windowed_sql, with_sql
 from flowloom.operators import hosts, views
-from flowloom.sources import csv, dumps, packets, tables
+from flowloom.sources import csv, dumps, packets, tables, tail
 from flowloom.streaming import feeds, state
+from flowloom.streaming.stepped import SteppedState
 from flowloom.streaming.windows import WindowCloser, run_to_end, tumbling_counts
 from flowloom.workspace import new_path
 
@@ -123,6 +124,48 @@ def _(spark, sf):
     return drain(stream, spark, "tail").groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t_sum"))
 
 
+GROWING = "src_ip,dst_ip,fwd_bytes,t"
+
+
+def grow_files(spark, sf, root, whole):
+    """Each task writes its flows as one CSV file: at first half of its bytes, which ends inside a
+    line, later all of them. Every 50th line is too wide, every 40th has no time."""
+    from pyspark import TaskContext
+
+    from flowloom.sources.tail import open_path
+
+    def write(batches):
+        text = [GROWING]
+        for batch in batches:
+            for k1, src, dst, size, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text.append(f"{src},{dst},{size},{'' if k1 % 40 == 3 else t}{',x' if k1 % 50 == 7 else ''}")
+        content = "\n".join([*text, ""]).encode("latin-1")
+        system, folder = open_path(root)
+        system.create_dir(folder, recursive=True)
+        place = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        with system.open_output_stream(f"{place}.draft") as out:
+            out.write(content if whole else content[: len(content) // 2])
+        system.move(f"{place}.draft", f"{place}.csv")
+        yield from ()
+
+    rows = flows(spark, sf).select("k1", "src_ip", "dst_ip", "fwd_bytes", "t")
+    rows.mapInArrow(write, "k1 bigint").count()
+
+
+@query("s09_growing_csv", with_sql(FLOWS) + " SELECT src_ip, count(*) AS n, count(*) FILTER (k1 % 40 <> 3) AS timed, coalesce(sum(t) FILTER (k1 % 40 <> 3), 0)::BIGINT AS t_sum FROM flows WHERE k1 % 50 <> 7 GROUP BY 1")
+def _(spark, sf):
+    """Files that grow between two triggers: every whole line of the right width arrives once."""
+    root, out = new_path(spark, "growing"), new_path(spark, "tailed")
+    for whole in (False, True):
+        grow_files(spark, sf, root, whole)
+        stream = tail.tail_flows(spark, root, {"src_ip": "string", "dst_ip": "string", "fwd_bytes": "double", "t": "double"}, start_at="start")
+        (stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+         .trigger(availableNow=True).start().awaitTermination())
+    told = F.col("t") != F.col("arrived")
+    return spark.read.parquet(f"{out}/rows").groupBy("src_ip").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(told).alias("timed"), F.coalesce(F.sum(F.when(told, F.col("t"))), F.lit(0)).cast("bigint").alias("t_sum"))
+
+
 def packet_rows(spark, sf):
     e = table(spark, sf, "events")
     return e.select(
@@ -263,27 +306,57 @@ def _(spark, sf):
     return closer.results()
 
 
-def host_windows(spark, sf):
-    """Per hour and user: flows, written as a table that a stream can read."""
+def host_windows(spark, sf, seconds):
+    """Per window and user: flows, written as a table that a stream can read."""
     path = new_path(spark, "host-windows")
     e = table(spark, sf, "events").select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "user_id")
-    w = e.groupBy((F.floor(F.col("t") / 3600) * 3600 + 3600).alias("window_end"), F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 100).cast("string"), F.lit("."), (F.col("user_id") % 100).cast("string")).alias("ip")).agg(F.count(F.lit(1)).alias("flows_now"))
+    w = e.groupBy((F.floor(F.col("t") / seconds) * seconds + seconds).alias("window_end"), F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 100).cast("string"), F.lit("."), (F.col("user_id") % 100).cast("string")).alias("ip")).agg(F.count(F.lit(1)).alias("flows_now"))
     w.withColumn("at", F.timestamp_seconds("window_end")).write.parquet(path)
     return spark.readStream.schema("window_end bigint, ip string, flows_now bigint, at timestamp").parquet(path)
 
 
-HW = "hw AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 + 3600 AS window_end, '10.0.' || user_id // 100 || '.' || user_id % 100 AS ip, count(*) AS flows_now FROM events GROUP BY 1, 2)"
-PREV = "(PARTITION BY ip ORDER BY window_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+def host_episodes(seconds, ttl):
+    """SQL of host windows with a number for each stretch without a silence longer than the time to live."""
+    return f"""hw AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) // {seconds} * {seconds} + {seconds} AS window_end, '10.0.' || user_id // 100 || '.' || user_id % 100 AS ip, count(*) AS flows_now FROM events GROUP BY 1, 2),
+gap AS (SELECT *, CASE WHEN window_end - lag(window_end) OVER (PARTITION BY ip ORDER BY window_end) > {ttl} THEN 1 ELSE 0 END AS fresh FROM hw),
+ep AS (SELECT *, sum(fresh) OVER (PARTITION BY ip ORDER BY window_end) AS episode FROM gap),
+h AS (SELECT *, count(*) OVER before AS wb, coalesce(sum(flows_now) OVER before, 0) AS past FROM ep WINDOW before AS (PARTITION BY ip, episode ORDER BY window_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gone AS (SELECT ip, max(window_end) + {ttl} AS window_end, count(*) AS seen, sum(flows_now) AS total FROM ep GROUP BY ip, episode HAVING max(window_end) + {ttl} < (SELECT max(window_end) - 60 FROM hw) OR episode < (SELECT max(episode) FROM ep x WHERE x.ip = ep.ip))"""
 
 
-@query("r06_host_history_stream", with_sql(HW) + f", h AS (SELECT *, count(*) OVER {PREV} AS wb, coalesce(sum(flows_now) OVER {PREV}, 0) AS past FROM hw) SELECT ip, window_end, wb AS windows_before, round(past / greatest(wb, 1), 6) AS mean_flows_before, round(flows_now / greatest(past / greatest(wb, 1), 1), 6) AS burst FROM h")
+@query("r06_host_history_stream", with_sql(host_episodes(3600, 86400)) + """ SELECT ip, window_end, 'seen' AS event, wb AS windows_before, round(past / greatest(wb, 1), 6) AS mean_flows_before, round(flows_now / greatest(past / greatest(wb, 1), 1), 6) AS burst FROM h
+  UNION ALL SELECT ip, window_end, 'expired', seen, round(total / seen, 6), NULL FROM gone""")
 def _(spark, sf):
-    return rounded(drain(state.host_history_stream(host_windows(spark, sf), ttl=10**9), spark, "history"))
+    """A host that is silent for a day is let go, and starts anew when it returns."""
+    return rounded(drain(state.host_history_stream(host_windows(spark, sf, 3600), ttl=86400), spark, "history"))
+
+
+MEMORY_ROWS = """m AS (SELECT ip, window_end, 'seen' AS event, CASE WHEN past + flows_now >= 2 THEN 'heavy' ELSE 'tail' END AS tier, past < 2 AS cold, CASE WHEN past < 2 THEN '10.0.' || split_part(ip, '.', 3) || '.0/24' ELSE ip END AS slot, (past + flows_now)::BIGINT AS flow_count, flows_now FROM h
+  UNION ALL SELECT ip, window_end, 'expired', CASE WHEN total >= 2 THEN 'heavy' ELSE 'tail' END, true, '10.0.' || split_part(ip, '.', 3) || '.0/24', total::BIGINT, 0 FROM gone)"""
 
 
-@query("r07_host_memory_stream", with_sql(HW) + f", h AS (SELECT *, coalesce(sum(flows_now) OVER {PREV}, 0) AS past FROM hw) SELECT ip, window_end, CASE WHEN past + flows_now >= 2 THEN 'heavy' ELSE 'tail' END AS tier, past < 2 AS cold, CASE WHEN past < 2 THEN '10.0.' || split_part(ip, '.', 3) || '.0/24' ELSE ip END AS slot, (past + flows_now)::BIGINT AS flow_count FROM h")
+@query("r07_host_memory_stream", with_sql(host_episodes(600, 1800), MEMORY_ROWS) + " SELECT * FROM m")
 def _(spark, sf):
-    return drain(state.host_memory_stream(host_windows(spark, sf), ttl=10**9), spark, "memory")
+    return drain(state.host_memory_stream(host_windows(spark, sf, 600), ttl=1800), spark, "memory")
+
+
+SUBNET_ROWS = """cw AS (SELECT slot AS subnet, window_end, count(*) AS cold_hosts, sum(flows_now) AS cold_flows FROM m WHERE event = 'seen' AND cold GROUP BY 1, 2),
+cg AS (SELECT *, CASE WHEN window_end - lag(window_end) OVER (PARTITION BY subnet ORDER BY window_end) > 1800 THEN 1 ELSE 0 END AS fresh FROM cw),
+ce AS (SELECT *, sum(fresh) OVER (PARTITION BY subnet ORDER BY window_end) AS episode FROM cg),
+ch AS (SELECT *, count(*) OVER before AS wb, coalesce(sum(cold_flows) OVER before, 0) AS past FROM ce WINDOW before AS (PARTITION BY subnet, episode ORDER BY window_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cgone AS (SELECT subnet, max(window_end) + 1800 AS window_end, count(*) AS seen, sum(cold_flows) AS total FROM ce GROUP BY subnet, episode HAVING max(window_end) + 1800 < (SELECT max(window_end) - 60 FROM cw) OR episode < (SELECT max(episode) FROM ce x WHERE x.subnet = ce.subnet))"""
+
+
+@query("r07_subnet_memory_stream", with_sql(host_episodes(600, 1800), MEMORY_ROWS, SUBNET_ROWS) + """ SELECT subnet, window_end, 'seen' AS event, cold_hosts, cold_flows::BIGINT AS cold_flows, wb AS windows_before, past::BIGINT AS flows_before FROM ch
+  UNION ALL SELECT subnet, window_end, 'expired', 0, 0, seen, total::BIGINT FROM cgone""")
+def _(spark, sf):
+    """Two states in a chain: the /24 of the hosts that the first tier found cold."""
+    path = new_path(spark, "memory-rows")
+    first = state.host_memory_stream(host_windows(spark, sf, 600), ttl=1800)
+    (first.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    rows = spark.readStream.schema(first.schema).parquet(f"{path}/out")
+    return drain(state.subnet_memory_stream(rows, ttl=1800), spark, "subnets")
 
 
 def scaler_inputs(spark, sf):
@@ -315,18 +388,31 @@ def _(spark, sf):
     return drain(state.scaler_stream(stream, ref), spark, "scaler-out")
 
 
-@query("r09_adaptive_threshold")
-def _(spark, sf):
-    """Three windows of reference scores per event type, one step each."""
-    e = table(spark, sf, "events").select(F.col("event_type").alias("segment"), F.col("value").alias("score"), "event_id")
-    now = e.select("segment").distinct().select("segment", F.lit(0.01).alias("alpha"), F.array().cast("array<double>").alias("scores"))
-    steps = []
-    from flowloom.workspace import materialize
-    for i in range(3):
-        done = materialize(state.threshold_step(now, e.where(F.col("event_id") % 3 == i), ["event_id"]), "threshold")
-        steps.append(done.select("segment", F.lit(i).alias("step"), "realised_fpr", "alpha", "n_reference", F.size("scores").alias("buffered")))
-        now = done.select("segment", "alpha", "scores")
-    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+FOLD = """e AS (SELECT event_type AS segment, event_id % 3 AS step, value AS score, event_id FROM events),
+w AS (SELECT segment, step, list(score ORDER BY event_id) AS scores FROM e GROUP BY 1, 2),
+f AS (SELECT DISTINCT segment, -1::BIGINT AS step, 0::DOUBLE AS threshold, 0::DOUBLE AS realised_fpr, 0.01::DOUBLE AS alpha, 0::BIGINT AS n_reference, []::DOUBLE[] AS kept FROM e
+  UNION ALL SELECT segment, step, threshold, over, least(greatest(alpha + 0.01 * (0.01 - CASE WHEN over > 0.01 THEN 1 ELSE 0 END), 0.0001), 0.5), len(scores), list_concat(kept, scores)[-2000:]
+  FROM (SELECT *, len(list_filter(scores, lambda x: x > threshold)) / len(scores) AS over
+    FROM (SELECT f.segment, w.step, f.alpha, f.kept, w.scores,
+        CASE WHEN len(f.kept) = 0 THEN 'inf'::DOUBLE ELSE list_sort(f.kept)[1 + floor((1 - f.alpha) * (len(f.kept) - 1))::BIGINT]
+          + ((1 - f.alpha) * (len(f.kept) - 1) - floor((1 - f.alpha) * (len(f.kept) - 1))) * (list_sort(f.kept)[1 + ceil((1 - f.alpha) * (len(f.kept) - 1))::BIGINT] - list_sort(f.kept)[1 + floor((1 - f.alpha) * (len(f.kept) - 1))::BIGINT]) END AS threshold
+      FROM f JOIN w ON w.segment = f.segment AND w.step = f.step + 1)))"""
+
+
+@query("r09_adaptive_threshold", "WITH RECURSIVE " + FOLD + " SELECT segment, step, CASE WHEN isinf(threshold) THEN -1 ELSE round(threshold, 6) END AS threshold, round(realised_fpr, 6) AS realised_fpr, round(alpha, 6) AS alpha, n_reference, len(kept) AS buffered, round(list_sum(kept), 4) AS buffer_sum FROM f WHERE step >= 0")
+def _(spark, sf):
+    """Three micro-batches of reference scores for every event type; the state of each is what the one before left."""
+    source, root = new_path(spark, "reference-scores"), new_path(spark, "thresholds")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("segment"), F.col("value").alias("score"), "event_id", (F.col("event_id") % 3).alias("window_id"))
+    for window in range(3):
+        e.where(F.col("window_id") == window).coalesce(1).write.mode("append").parquet(source)
+    first = e.select("segment").distinct().select("segment", F.lit(0.01).alias("alpha"), F.array().cast("array<double>").alias("scores"))
+    steps = SteppedState(spark, root, first, lambda now, rows, window: state.threshold_step(now, rows, ["event_id"]).withColumn("step", F.lit(window).cast("bigint")))
+    steps.run(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return steps.reports().select(
+        "segment", "step", F.when(F.col("threshold") == float("inf"), -1.0).otherwise(F.round("threshold", 6)).alias("threshold"), F.round("realised_fpr", 6).alias("realised_fpr"),
+        F.round("alpha", 6).alias("alpha"), "n_reference", F.size("scores").cast("bigint").alias("buffered"), F.round(total, 4).alias("buffer_sum"))
 
 
 @query("r11_enriched_stream", "SELECT event_type AS attack_class, user_id % 7 = 0 AS blocked, count(*) AS n, any_value(CASE event_type WHEN 'error' THEN 'drop' END) AS action FROM events GROUP BY 1, 2")

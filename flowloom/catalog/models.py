@@ -214,16 +214,24 @@ def _(spark, sf):
 
 @query("r10_gated_update")
 def _(spark, sf):
-    from flowloom.streaming.state import gated_update
+    """Three micro-batches of vectors; each component follows those it takes in."""
+    from flowloom.streaming.mixture import Following, state_rows
+    from flowloom.streaming.stepped import SteppedState
+    from flowloom.workspace import new_path
+
     z, components = mixture(spark, sf)
-    scored = openset.mahalanobis(z, "z", components)
     top = openset.acceptance_threshold(openset.mahalanobis(z.where("label < 8"), "z", components)).first()[0]
-    sums = [row.asDict() for row in openset.accepted_sums(scored, "z", 8, top).collect()]
-    after = gated_update(components, sums)
-    rows = [(i, c["label"], float(sum(c["mean"])), float(sum(c["cov"][j][j] for j in range(8)))) for i, c in enumerate(after)]
-    moved = spark.createDataFrame(rows, "component int, label int, mean_sum double, trace double")
-    accepted = scored.where(F.col("distance") <= top).groupBy("component").agg(F.count(F.lit(1)).alias("accepted"))
-    return moved.join(accepted, "component", "left")
+    source = new_path(spark, "vectors")
+    rows = z.select("vec_id", "z", (F.col("vec_id") % 3).alias("window_id"))
+    for window in range(3):
+        rows.where(F.col("window_id") == window).coalesce(1).write.mode("append").parquet(source)
+    following = Following(top, resync_every=2)
+    steps = SteppedState(spark, new_path(spark, "mixture-states"), state_rows(spark, components), following.step)
+    steps.run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    trace = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda a, i: a + F.element_at("cov", i * 9 + 1))
+    return steps.reports().select(
+        F.col("window").cast("bigint").alias("step"), "component", "label", "accepted", "rejected", "n_updates", "steps",
+        r(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), "mean_sum"), r(trace, "trace"))
 
 
 @query("g16_negative_pairs")

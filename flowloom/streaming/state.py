@@ -18,77 +18,160 @@ def _ordered(frames, column="window_end") -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(column, kind="mergesort")
 
 
+def _episodes(rows: pd.DataFrame, last: int, ttl: int) -> list[tuple[int | None, pd.DataFrame]]:
+    """A key's ordered rows, cut where it was silent for longer than ``ttl``: (when what was known
+    before expired, rows). Nothing expires before the first part of a key that is not known."""
+    ends = rows.window_end.to_numpy(np.int64)
+    before = np.append(last or ends[0], ends[:-1])
+    cuts = np.flatnonzero(ends - before > ttl)
+    parts = np.split(np.arange(len(ends)), cuts)
+    expired = [None, *(before[cuts] + ttl).tolist()]
+    return [(gone, rows.iloc[part]) for gone, part in zip(expired, parts, strict=True) if len(part) or gone is not None]
+
+
+def _expire_later(state: GroupState, last: int, ttl: int) -> None:
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (last + ttl) * 1000))
+
+
 # ----------------------------------------------------------------- host history
-HISTORY_OUT = "ip string, window_end bigint, windows_before bigint, mean_flows_before double, burst double"
+HISTORY_OUT = "ip string, window_end bigint, event string, windows_before bigint, mean_flows_before double, burst double"
+HISTORY_NAMES = [f.split()[0] for f in HISTORY_OUT.split(", ")]
 
 
 def _history(ttl: int):
+    def gone(ip: str, at: int, seen: int, total: int) -> pd.DataFrame:
+        return pd.DataFrame([(ip, at, "expired", seen, total / max(seen, 1), np.nan)], columns=HISTORY_NAMES)
+
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        seen, total, last = state.get if state.exists else (0, 0, 0)
         if state.hasTimedOut:
             state.remove()
+            yield gone(key[0], last + ttl, seen, total)
             return
-        seen, total, last = state.get if state.exists else (0, 0, 0)
-        out = []
-        for row in _ordered(frames).itertuples(index=False):
-            if last and row.window_end - last > ttl:
+        for expired, rows in _episodes(_ordered(frames), last, ttl):
+            if expired is not None:
+                yield gone(key[0], expired, seen, total)
                 seen, total = 0, 0
-            mean = total / max(seen, 1)
-            out.append((key[0], row.window_end, seen, mean, row.flows_now / max(mean, 1.0)))
-            seen, total, last = seen + 1, total + int(row.flows_now), int(row.window_end)
+            now = rows.flows_now.to_numpy(np.int64)
+            before = seen + np.arange(len(now))
+            mean = (total + np.cumsum(now) - now) / np.maximum(before, 1)
+            yield pd.DataFrame({
+                "ip": key[0], "window_end": rows.window_end, "event": "seen", "windows_before": before,
+                "mean_flows_before": mean, "burst": now / np.maximum(mean, 1.0),
+            })
+            if len(now):
+                seen, total, last = seen + len(now), total + int(now.sum()), int(rows.window_end.iloc[-1])
         state.update((seen, total, last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (last + ttl) * 1000))
-        yield pd.DataFrame(out, columns=["ip", "window_end", "windows_before", "mean_flows_before", "burst"])
+        _expire_later(state, last, ttl)
 
     return step
 
 
 def host_history_stream(nodes: DataFrame, ttl: int = 86400, delay: str = "1 minute") -> DataFrame:
-    """``nodes``: ip, window_end (seconds), flows_now, at (event time). State expires by time
-    to live: a host silent for longer starts again."""
+    """``nodes``: ip, window_end (seconds), flows_now, at (event time). A host that is silent for
+    longer than ``ttl`` is let go with a row of event ``expired``, at the time it expired, and starts
+    anew if it returns; whether its timer or its return comes first changes no row."""
     return nodes.withWatermark("at", delay).groupBy("ip").applyInPandasWithState(
         _history(ttl), HISTORY_OUT, "seen bigint, total bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 # ------------------------------------------------------------------ host memory
-MEMORY_OUT = "ip string, window_end bigint, tier string, cold boolean, slot string, flow_count bigint"
+MEMORY_OUT = "ip string, window_end bigint, event string, tier string, cold boolean, slot string, flow_count bigint, flows_now bigint"
+MEMORY_NAMES = [f.split()[0] for f in MEMORY_OUT.split(", ")]
+
+
+def subnet_of(ip: str) -> str:
+    return ip.rsplit(".", 1)[0] + ".0/24"
 
 
 def _memory(ttl: int, promote_at: int):
+    def gone(ip: str, at: int, flows: int) -> pd.DataFrame:
+        tier = "heavy" if flows >= promote_at else "tail"
+        return pd.DataFrame([(ip, at, "expired", tier, True, subnet_of(ip), flows, 0)], columns=MEMORY_NAMES)
+
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        flows, last = state.get if state.exists else (0, 0)
         if state.hasTimedOut:
             state.remove()
+            yield gone(key[0], last + ttl, flows)
             return
-        flows, heavy, last = state.get if state.exists else (0, False, 0)
-        subnet = key[0].rsplit(".", 1)[0] + ".0/24"
-        out = []
-        for row in _ordered(frames).itertuples(index=False):
-            if last and row.window_end - last > ttl:
-                flows, heavy = 0, False
-            flows += int(row.flows_now)
-            cold = not heavy
-            heavy = heavy or flows >= promote_at
-            slot = key[0] if heavy and not cold else subnet
-            out.append((key[0], row.window_end, "heavy" if heavy else "tail", cold, slot, flows))
-            last = int(row.window_end)
-        state.update((flows, heavy, last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (last + ttl) * 1000))
-        yield pd.DataFrame(out, columns=["ip", "window_end", "tier", "cold", "slot", "flow_count"])
+        for expired, rows in _episodes(_ordered(frames), last, ttl):
+            if expired is not None:
+                yield gone(key[0], expired, flows)
+                flows = 0
+            now = rows.flows_now.to_numpy(np.int64)
+            count = flows + np.cumsum(now)
+            cold = count - now < promote_at  # promotion takes effect from the next window
+            yield pd.DataFrame({
+                "ip": key[0], "window_end": rows.window_end, "event": "seen", "tier": np.where(count >= promote_at, "heavy", "tail"),
+                "cold": cold, "slot": np.where(cold, subnet_of(key[0]), key[0]), "flow_count": count, "flows_now": now,
+            })
+            if len(now):
+                flows, last = int(count[-1]), int(rows.window_end.iloc[-1])
+        state.update((flows, last))
+        _expire_later(state, last, ttl)
 
     return step
 
 
 def host_memory_stream(nodes: DataFrame, ttl: int = 1800, promote_at: int = 2, delay: str = "1 minute") -> DataFrame:
-    """Which memory a host reads in each window: its own once it has been promoted, that of
-    its /24 while it is cold. Promotion takes effect from the next window."""
+    """First tier: which memory a host reads in each window, its own once it has been promoted,
+    that of its /24 while it is cold. Hosts expire as in :func:`host_history_stream`; one that
+    returns is cold again."""
     return nodes.withWatermark("at", delay).groupBy("ip").applyInPandasWithState(
-        _memory(ttl, promote_at), MEMORY_OUT, "flows bigint, heavy boolean, last bigint", "append", GroupStateTimeout.EventTimeTimeout
+        _memory(ttl, promote_at), MEMORY_OUT, "flows bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+SUBNET_OUT = "subnet string, window_end bigint, event string, cold_hosts bigint, cold_flows bigint, windows_before bigint, flows_before bigint"
+SUBNET_NAMES = [f.split()[0] for f in SUBNET_OUT.split(", ")]
+
+
+def _subnet(ttl: int):
+    def gone(subnet: str, at: int, windows: int, flows: int) -> pd.DataFrame:
+        return pd.DataFrame([(subnet, at, "expired", 0, 0, windows, flows)], columns=SUBNET_NAMES)
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        windows, flows, last = state.get if state.exists else (0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield gone(key[0], last + ttl, windows, flows)
+            return
+        # At most 256 hosts of a /24 have a row in a window.
+        hosts = pd.concat([f.groupby("window_end")["flows_now"].agg(["size", "sum"]) for f in frames])
+        hosts = hosts.groupby(level=0).sum().reset_index()
+        for expired, rows in _episodes(hosts, last, ttl):
+            if expired is not None:
+                yield gone(key[0], expired, windows, flows)
+                windows, flows = 0, 0
+            now = rows["sum"].to_numpy(np.int64)
+            yield pd.DataFrame({
+                "subnet": key[0], "window_end": rows.window_end, "event": "seen", "cold_hosts": rows["size"], "cold_flows": now,
+                "windows_before": windows + np.arange(len(now)), "flows_before": flows + np.cumsum(now) - now,
+            })
+            if len(now):
+                windows, flows, last = windows + len(now), flows + int(now.sum()), int(rows.window_end.iloc[-1])
+        state.update((windows, flows, last))
+        _expire_later(state, last, ttl)
+
+    return step
+
+
+def subnet_memory_stream(memory: DataFrame, ttl: int = 1800, delay: str = "1 minute") -> DataFrame:
+    """Second tier, over the rows that :func:`host_memory_stream` wrote: what each /24 remembers
+    of the hosts that fell back to it, before each window, and when it expires. A cold host reads
+    the row of its ``slot`` and window."""
+    cold = memory.where("event = 'seen' AND cold").withColumn("at", F.timestamp_seconds("window_end"))
+    return cold.withWatermark("at", delay).withColumnRenamed("slot", "subnet").groupBy("subnet").applyInPandasWithState(
+        _subnet(ttl), SUBNET_OUT, "windows bigint, flows bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def subnet_activity(memory: DataFrame) -> DataFrame:
-    """Per window and /24: hosts that fell back to it. Feeds the subnets' own state."""
-    return memory.where("cold").groupBy("window_end", F.col("slot").alias("subnet")).agg(F.count(F.lit(1)).alias("cold_hosts"))
+    """Per window and /24: hosts that fell back to it, from a finished table."""
+    cold = memory.where("event = 'seen' AND cold")
+    return cold.groupBy("window_end", F.col("slot").alias("subnet")).agg(F.count(F.lit(1)).alias("cold_hosts"))
 
 
 # ------------------------------------------------------------------- EMA scaler

@@ -1,7 +1,9 @@
 """Streams against the same input as a batch."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from flowloom.streaming.state import host_history_stream, host_memory_stream
 from flowloom.streaming.windows import WindowCloser, run_to_end
 
 SCHEMA = "t bigint, src_ip string, dst_ip string, id int"
@@ -58,3 +60,44 @@ def test_staging_and_progress_stay_small(spark, tmp_path):
     folders = lambda name: [p for p in (tmp_path / name).iterdir() if p.is_dir()]
     assert len(folders("staging")) <= 2 and len(folders("progress")) <= 2
     assert closer.results().agg(F.sum("n_flows")).first()[0] >= rows(spark).where("t < 2340").count()
+
+
+def seen_in_two_runs(spark, tmp_path, make, rows, cut):
+    """Rows of a keyed stream that reads the windows up to ``cut``, stops, and reads the others."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ip string, window_end bigint, flows_now bigint"
+    frame = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("window_end"))
+    for part in (frame.where(F.col("window_end") <= cut), frame.where(F.col("window_end") > cut)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(frame.schema).parquet(source))
+        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out)
+
+
+WINDOWS = [("10.0.0.1", 60, 1), ("10.0.0.1", 120, 1), ("10.0.0.1", 180, 4), ("10.0.0.2", 60, 5), ("10.0.0.2", 2000, 1),
+           ("10.0.0.2", 2060, 2), ("10.0.1.9", 5000, 1), ("10.0.1.9", 5060, 1)]
+
+
+@pytest.mark.parametrize("cut", [60, 120, 3000, 9000])
+def test_hosts_expire_and_return_cold_wherever_a_run_ends(spark, tmp_path, cut):
+    found = seen_in_two_runs(spark, tmp_path, lambda s: host_memory_stream(s, ttl=600), WINDOWS, cut)
+    got = sorted((r.ip, r.window_end, r.event, r.tier, r.cold, r.slot, r.flow_count) for r in found.collect())
+    assert got == [
+        ("10.0.0.1", 60, "seen", "tail", True, "10.0.0.0/24", 1), ("10.0.0.1", 120, "seen", "heavy", True, "10.0.0.0/24", 2),
+        ("10.0.0.1", 180, "seen", "heavy", False, "10.0.0.1", 6), ("10.0.0.1", 780, "expired", "heavy", True, "10.0.0.0/24", 6),
+        ("10.0.0.2", 60, "seen", "heavy", True, "10.0.0.0/24", 5), ("10.0.0.2", 660, "expired", "heavy", True, "10.0.0.0/24", 5),
+        ("10.0.0.2", 2000, "seen", "tail", True, "10.0.0.0/24", 1), ("10.0.0.2", 2060, "seen", "heavy", True, "10.0.0.0/24", 3),
+        ("10.0.0.2", 2660, "expired", "heavy", True, "10.0.0.0/24", 3),
+        ("10.0.1.9", 5000, "seen", "tail", True, "10.0.1.0/24", 1), ("10.0.1.9", 5060, "seen", "heavy", True, "10.0.1.0/24", 2),
+    ]
+
+
+def test_history_starts_anew_after_its_time_to_live(spark, tmp_path):
+    found = seen_in_two_runs(spark, tmp_path, lambda s: host_history_stream(s, ttl=600), WINDOWS[:6], 120)
+    got = sorted((r.ip, r.window_end, r.event, r.windows_before, r.mean_flows_before, r.burst) for r in found.collect())
+    assert got == [
+        ("10.0.0.1", 60, "seen", 0, 0.0, 1.0), ("10.0.0.1", 120, "seen", 1, 1.0, 1.0), ("10.0.0.1", 180, "seen", 2, 1.0, 4.0),
+        ("10.0.0.1", 780, "expired", 3, 2.0, None), ("10.0.0.2", 60, "seen", 0, 0.0, 5.0), ("10.0.0.2", 660, "expired", 1, 5.0, None),
+        ("10.0.0.2", 2000, "seen", 0, 0.0, 1.0), ("10.0.0.2", 2060, "seen", 1, 1.0, 2.0),
+    ]
