@@ -179,13 +179,34 @@ def _(spark, sf):
 def mixture(spark, sf):
     v = vectors(spark, sf)
     z = materialize(openset.project(v, "x", openset.vector_mean(v, "x", 64), openset.random_basis(64, 8)).select("vec_id", "label", "z"), "projected")
-    return z, openset.fit_mixture(z.where("label < 8"), "z", "label", 8, k=1)
+    return z, openset.fit_mixture(z.where("label < 8"), "z", "label", 8, k=2)
 
 
-@query("g12_mixture_means", "WITH " + """e AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 8 GROUP BY 1) SELECT label, round(n / (SELECT sum(n) FROM e), 6) AS weight FROM e""")
+def lloyd_sql(rounds):
+    """Two clusters of every class of the vectors ``v`` (label, x): from the class mean, one standard
+    deviation to both sides of its widest axis, then the rounds."""
+    near = "SELECT v.vec_id, label, v.x, first(j ORDER BY list_distance(v.x, c), j) AS j FROM v JOIN {} USING (label) GROUP BY ALL"
+    steps = [f"""a{k} AS MATERIALIZED ({near.format(f"c{k}")}),
+c{k + 1} AS MATERIALIZED (SELECT label, j, list(m ORDER BY i) AS c FROM (SELECT label, j, i, avg(x[i]) AS m FROM a{k}, axis GROUP BY ALL) GROUP BY ALL)""" for k in range(rounds)]
+    return f"""axis AS (SELECT unnest(range(1, 65)) AS i),
+dims AS (SELECT label, i, avg(x[i]) AS m, var_pop(x[i]) AS s FROM v, axis GROUP BY ALL),
+wide AS (SELECT label, first(i ORDER BY s DESC, i) AS a, sqrt(max(s)) AS w FROM dims GROUP BY 1),
+c0 AS (SELECT label, j, list(m + CASE WHEN i = a THEN (2 * j - 1) * w ELSE 0 END ORDER BY i) AS c FROM dims JOIN wide USING (label), (SELECT unnest([0, 1]) AS j) GROUP BY ALL),
+{", ".join(steps)}, placed AS MATERIALIZED ({near.format(f"c{rounds}")})"""
+
+
+@query("g12_mixture_means", with_sql("v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label < 8)", lloyd_sql(20), """size AS (SELECT label, j, count(*) AS n FROM placed GROUP BY ALL),
+mom AS (SELECT label, j, i, avg(x[i]) AS m, var_pop(x[i]) AS s FROM placed, axis GROUP BY ALL),
+total AS (SELECT label, j, sum(m) AS mean_sum, sqrt(sum(m * m)) AS mean_length, sum(s) AS trace FROM mom GROUP BY ALL)""") + """ SELECT label, j AS "cluster", n, n >= 20 AS fitted, CASE WHEN n >= 20 THEN round(n / (SELECT count(*) FROM v), 6) END AS weight, CASE WHEN n >= 20 THEN round(mean_sum, 5) END AS mean_sum, CASE WHEN n >= 20 THEN round(mean_length, 5) END AS mean_length, CASE WHEN n >= 20 THEN round(trace, 4) END AS trace FROM size JOIN total USING (label, j)""")
 def _(spark, sf):
-    _, components = mixture(spark, sf)
-    return spark.createDataFrame([(c["label"], float(c["weight"])) for c in components], "label int, weight double").select("label", r(F.col("weight"), "weight"))
+    """Two clusters in every class of the 64-dimensional vectors, and those with too few vectors."""
+    import numpy as np
+
+    fit = openset.fit_class_mixture(vectors(spark, sf).where("label < 8"), "x", "label", 64, k=2)
+    rows = [(c["label"], c["cluster"], c["n"], True, c["weight"], float(sum(c["mean"])), float(np.linalg.norm(c["mean"])), float(np.trace(c["cov"]) - 64e-6)) for c in fit.components]
+    rows += [(c["label"], c["cluster"], c["n"], False, None, None, None, None) for c in fit.skipped]
+    out = spark.createDataFrame(rows, "label int, cluster int, n bigint, fitted boolean, weight double, mean_sum double, mean_length double, trace double")
+    return rounded(out, weight=6, mean_sum=5, mean_length=5, trace=4)
 
 
 @query("g13_distances")

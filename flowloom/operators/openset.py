@@ -4,11 +4,11 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from flowloom.operators.clusters import ClassMixture, fit_classes
 from flowloom.operators.ordered import exact_percentiles, row_ranks
 from flowloom.workspace import checked_broadcast
 
@@ -91,44 +91,17 @@ def shrunk_covariance(n: int, ss: np.ndarray, q: float) -> np.ndarray:
     return (1 - share) * s + share * mu * np.eye(d)
 
 
-def fit_mixture(df: DataFrame, column: str, label: str, dim: int, k: int = 2, min_samples: int = 20, seed: int = 0):
-    """A list of components {label, mean, cov, cov0, weight}. Clusters are found by Spark's
-    k-means inside each class; moments of all components come from two aggregate passes."""
-    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    total = sum(sizes.values())
-    parts, names = [], {}
-    for c in sorted(x for x, n in sizes.items() if n >= min_samples):
-        rows = df.where(F.col(label) == c)
-        if sizes[c] < k * min_samples or k == 1:
-            assigned = rows.select(F.col(column).alias("z"), F.lit(0).alias("g"))
-        else:
-            vectors = rows.select(F.col(column).alias("z"), array_to_vector(column).alias("features"))
-            model = KMeans(k=k, seed=seed, maxIter=20).fit(vectors)
-            assigned = model.transform(vectors).select("z", F.col("prediction").alias("g"))
-        offset = len(names)
-        for j in range(k):
-            names[offset + j] = c
-        parts.append(assigned.select("z", (F.col("g") + offset).alias("component")))
-    if not parts:
-        raise ValueError("no class has enough samples")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    from flowloom.workspace import materialize
-
-    every = materialize(every, "mixture")
-    first = moment_sums(every, "component", "z", dim).collect()
-    centres = {r["component"]: np.array(r["s"]) / r["n"] for r in first}
-    out = []
-    for r in sorted(moment_sums(every, "component", "z", dim, centres).collect(), key=lambda r: r["component"]):
-        if r["n"] < min_samples:
-            continue
-        cov = shrunk_covariance(r["n"], np.array(r["ss"]).reshape(dim, dim), r["q"]) + 1e-6 * np.eye(dim)
-        out.append({
-            "label": int(names[r["component"]]), "mean": centres[r["component"]].tolist(), "cov": cov.tolist(),
-            "cov0": cov.tolist(), "weight": r["n"] / total,
-        })
-    return out
+def fit_class_mixture(df: DataFrame, column: str, label: str, dim: int, k: int = 2, min_samples: int = 20,
+                      floor: float = 1e-6) -> ClassMixture:
+    """Clusters inside every class with shrunk covariances, and the classes and clusters that had
+    too few vectors for one."""
+    shrunk = lambda n, ss, q: shrunk_covariance(n, ss, q) + floor * np.eye(dim)
+    return fit_classes(df, column, label, dim, k, min_samples, shrunk)
+
+
+def fit_mixture(df: DataFrame, column: str, label: str, dim: int, k: int = 2, min_samples: int = 20) -> list[dict]:
+    """The components of :func:`fit_class_mixture`."""
+    return fit_class_mixture(df, column, label, dim, k, min_samples).components
 
 
 def mahalanobis(df: DataFrame, column: str, components: list[dict], out: str = "distance") -> DataFrame:
