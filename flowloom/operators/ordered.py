@@ -9,7 +9,7 @@ working table first: part bounds come from a sample, and must not change between
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.workspace import materialize
+from flowloom.workspace import checked_broadcast, materialize
 
 
 def running_totals(
@@ -53,17 +53,18 @@ def running_totals(
         Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = per_part.select(
-        "_part", *keys,
+        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[F.coalesce(F.sum(f"_s_{name}").over(before), F.col(f"_s_{name}") * 0).alias(f"_c_{name}")
           for name in totals],
     )
-    joined = stored.join(F.broadcast(carry), ["_part", *keys], "left")
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    joined = stored.join(F.broadcast(carry), same, "left")
     full = joined.withColumns({
         f"{name}_before": F.coalesce(F.col(f"{name}_before") + F.col(f"_c_{name}"),
                                      F.col(f"{name}_before"))
         for name in totals
     })
-    return full.drop("_part", *[f"_v_{x}" for x in totals], *[f"_c_{x}" for x in totals])
+    return full.drop("_part", "_p", *[f"_k_{k}" for k in keys], *[f"_v_{x}" for x in totals], *[f"_c_{x}" for x in totals])
 
 
 def row_ranks(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -72,11 +73,101 @@ def row_ranks(df: DataFrame, keys: list[str], order: list[Column], name: str = "
     return ranked.withColumnRenamed(f"{name}_before", name)
 
 
+SKETCH = 20_000  # a sketched quantile is off by at most one in so many ranks
+
+
 def exact_percentiles(
     df: DataFrame, keys: list[str], columns: list[str], probs: list[float]
 ) -> DataFrame:
-    """(keys, column, prob, value), linearly interpolated. Distinct values are counted first,
-    so the ranked table is the histogram and not the rows."""
+    """(keys, column, prob, value), linearly interpolated, by selection.
+
+    A sketch brackets every quantile; what lies below a bracket is only counted, and only the
+    distinct values inside it are ranked. Should a bracket miss its ranks, or a column hold NaN
+    (the largest value), the whole histogram is ranked instead. Nulls are left out."""
+    cells = {c: f"_v{i}" for i, c in enumerate(columns)}
+    narrow = materialize(
+        df.select(*keys, *[F.col(c).cast("double").alias(v) for c, v in cells.items()]), "percentile-columns"
+    )
+    named = {v: c for c, v in cells.items()}
+    found = _selected_percentiles(narrow, keys, list(named), probs)
+    if found is None:
+        found = _histogram_percentiles(narrow, keys, list(named), probs)
+    original = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    return found.withColumn("column", original[F.col("column")])
+
+
+def _selected_percentiles(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame | None:
+    """Percentiles from brackets; none if a bracket does not hold its ranks."""
+    slack = 2.0 / SKETCH
+    cuts = F.array(*[F.lit(float(min(max(p + d, 0.0), 1.0))) for p in probs for d in (-slack, slack)])
+    sketched = df.groupBy(*keys).agg(
+        *[F.count(c).alias(f"n{c}") for c in columns], *[F.percentile_approx(c, cuts, SKETCH).alias(f"s{c}") for c in columns],
+        *[F.min(c).alias(f"min{c}") for c in columns], *[F.max(c).alias(f"max{c}") for c in columns],
+        F.coalesce(F.sum(sum((F.coalesce(F.isnan(c), F.lit(False)).cast("int") for c in columns), F.lit(0))), F.lit(0)).alias("_nan"),
+    )
+    # The least and the largest value are their own brackets.
+    pairs = [(c, k, p) for c in columns for k, p in enumerate(probs)]
+    ends = {
+        (c, k, side): F.col(f"min{c}") if p <= 0 else F.col(f"max{c}") if p >= 1 else F.get(f"s{c}", F.lit(2 * k + side))
+        for c, k, p in pairs for side in (0, 1)
+    }
+    brackets = checked_broadcast(
+        sketched.select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], "_nan", *[f"n{c}" for c in columns],
+            *[end.alias(f"{'lo' if side == 0 else 'hi'}{c}_{k}") for (c, k, side), end in ends.items()],
+        ),
+        "brackets",
+    )
+    if brackets.where("_nan > 0").limit(1).count():
+        return None
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    met = df.join(brackets, same) if keys else df.crossJoin(F.broadcast(brackets))  # one row without keys
+    low, high = (lambda c, k: F.col(f"lo{c}_{k}")), (lambda c, k: F.col(f"hi{c}_{k}"))
+    outside = met.groupBy(*keys).agg(*[
+        F.struct(
+            F.count_if(F.col(c) < low(c, k)).alias("below"), F.max(F.when(F.col(c) < low(c, k), F.col(c))).alias("before"),
+            F.min(F.when(F.col(c) > high(c, k), F.col(c))).alias("after"), F.max(f"n{c}").alias("n"),
+        ).alias(f"o{c}_{k}") for c, k, _ in pairs
+    ])
+    told = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(k).alias("k"), F.lit(float(p)).alias("prob"), F.col(f"o{c}_{k}").alias("o"))
+        for c, k, p in pairs
+    ]))
+    outside = outside.select(*keys, told.alias("_t")).select(*keys, "_t.column", "_t.k", "_t.prob", "_t.o.*").where("n > 0")
+    inside = F.filter(
+        F.array(*[
+            F.when(F.col(c).between(low(c, k), high(c, k)), F.struct(F.lit(c).alias("column"), F.lit(k).alias("k"), F.col(c).alias("value")))
+            for c, k, _ in pairs
+        ]),
+        lambda x: x.isNotNull(),
+    )
+    counts = met.select(*keys, F.explode(inside).alias("_c")).groupBy(*keys, "_c.column", "_c.k", "_c.value").count()
+    ranked = running_totals(counts, [*keys, "column", "k"], [F.col("value")], {"n": F.col("count")})
+    held = ranked.select(
+        *[F.col(x).alias(f"_k_{x}") for x in keys], F.col("column").alias("_column"), F.col("k").alias("_k"), "value",
+        F.col("n_before").alias("_first"), (F.col("n_before") + F.col("count")).alias("_end"),
+    )
+    on = [*same, F.col("column") == F.col("_column"), F.col("k") == F.col("_k")]
+    at = F.col("prob") * (F.col("n") - 1)
+    joined = outside.join(held, on, "left").withColumns({"_floor": F.floor(at) - F.col("below"), "_ceil": F.ceil(at) - F.col("below")})
+    holds = lambda i: (F.col(i) >= F.col("_first")) & (F.col(i) < F.col("_end"))
+    total = F.max("_end")
+    value = lambda i: (
+        F.when(F.max(i) == -1, F.max("before")).when(F.max(i) == total, F.max("after")).otherwise(F.max(F.when(holds(i), F.col("value"))))
+    )
+    found = joined.groupBy(*keys, "column", "prob").agg(
+        value("_floor").alias("_low"), value("_ceil").alias("_high"), F.max(at - F.floor(at)).alias("_share")
+    )
+    found = materialize(found, "percentiles")
+    if found.where("_low IS NULL OR _high IS NULL").limit(1).count():
+        return None
+    return found.select(*keys, "column", "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias("value"))
+
+
+def _histogram_percentiles(
+    df: DataFrame, keys: list[str], columns: list[str], probs: list[float]
+) -> DataFrame:
+    """Percentiles from the ranked histogram of all values."""
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in columns
@@ -84,7 +175,10 @@ def exact_percentiles(
     long = df.select(*keys, cells.alias("_cell")).select(*keys, "_cell.column", "_cell.value")
     counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "column", "value").count()
     ranked = running_totals(counts, [*keys, "column"], [F.col("value")], {"n": F.col("count")})
-    sizes = counts.groupBy(*keys, "column").agg((F.sum("count") - 1).alias("_last"))
+    sizes = counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("column").alias("_column")).agg(
+        (F.sum("count") - 1).alias("_last")
+    )
+    same = [*[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("column") == F.col("_column")]
     position = lambda p: p * F.col("_last")
     first, end = F.col("n_before"), F.col("n_before") + F.col("count")
 
@@ -95,7 +189,7 @@ def exact_percentiles(
         F.array(*[F.lit(float(p)) for p in probs]),
         lambda p: holds(F.floor(position(p))) | holds(F.ceil(position(p))),
     )
-    hits = ranked.join(sizes, [*keys, "column"]).withColumn("prob", F.explode(wanted))
+    hits = ranked.join(sizes, same).withColumn("prob", F.explode(wanted))
     at = position(F.col("prob"))
     low = F.max(F.when(holds(F.floor(at)), F.col("value")))
     high = F.max(F.when(holds(F.ceil(at)), F.col("value")))
