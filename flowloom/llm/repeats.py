@@ -10,14 +10,20 @@ run of windows it was chosen by.
 * Round 1 refines each bucket by the identifier of all that the anchor's windows span, before and
   after it. Anchors with an equal identifier in an earlier document are repeats in full; buckets
   that were not split are finished as well.
-* Round 2 takes the first anchor of every part of a split bucket, with the bytes around it, and
-  refines by the identifiers of its single windows, at the offsets of the anchor in them.
+* Round 2 takes the first anchor of every part of a split bucket, with the bytes around it. A
+  bucket of at most ``MANY`` such anchors is held by one task, which refines it by the
+  identifiers of its single windows.
+* A larger bucket is refined on Spark, by halving the offsets that the anchor may have in a window:
+  all windows of one half share more bytes than the q-gram, and the identifier of what they share
+  names a smaller bucket. In it, anchors with an equal identifier of the stretch that their
+  windows of that half span are repeats in full; buckets that were not split are finished, small
+  ones are held by a task, and the others are halved again, down to single windows. An anchor
+  gives two rows a halving at most, and only while its bucket is both large and split.
 
 A bucket identifier is a 64-bit polynomial of the bytes; identifiers of any stretch come from
 the same prefix sums, so those of later rounds reuse what earlier rounds computed, and a pair of
-(q-gram, stretch) identifiers names a bucket from round 1 on. Buckets are reduced to their
-least document by combining aggregates; only what rounds 0 and 1 left of a bucket, if it has at
-most ``MANY`` openings, is held by one task.
+(bucket, stretch) identifiers names a part from round 1 on. Buckets are reduced to their least
+document by combining aggregates.
 """
 
 import hashlib
@@ -35,7 +41,7 @@ GRAM = 32
 BLOCK = 1 << 20  # bytes hashed at a time; positions in a block fit in POSITION bits
 POSITION = np.uint64(BLOCK - 1)
 BACK_BITS = 7
-MANY = 2_000  # openings of a bucket from which its windows are aggregated instead of held
+MANY = 2_000  # openings of a bucket from which it is halved instead of held
 HELD = 20_000  # spans resolved at a time
 
 
@@ -192,6 +198,7 @@ def _grams_only(length: int):
 
 
 SPAN_SCHEMA = "gram bigint, _id bigint, _tag bigint, place bigint, many boolean, bytes binary"
+HALF_SCHEMA = "gram bigint, part bigint, _id bigint, _tag bigint, place bigint, bytes binary, anchor int, low int, high int"
 
 
 def _spans(length: int):
@@ -286,19 +293,99 @@ def _repeats_in_buckets(length: int):
     return work
 
 
-def _single_windows(length: int):
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _placed_anchors(length: int):
+    """Rows of large buckets with the place of the anchor in their bytes, the first at which the
+    q-gram stands, and all offsets that an anchor may have in a window."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, place, key = _window_ids(batch, length)
+            data, offsets = _flat(batch.column(4))
+            anchor = np.zeros(batch.num_rows, np.int32)
+            if batch.num_rows:
+                gram = Identifiers(data).grams(GRAM)
+                row = np.searchsorted(offsets, np.arange(len(gram)), "right") - 1
+                at = np.flatnonzero(gram == batch.column(0).to_numpy().view(np.uint64)[row])
+                at = at[at + GRAM <= offsets[row[at] + 1]]
+                first = np.append(True, row[at][1:] != row[at][:-1])
+                anchor[row[at[first]]] = at[first] - offsets[row[at[first]]]
+            rows = np.zeros(batch.num_rows, np.int32)
             yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(batch["_id"].to_numpy()[row]),
-                 pa.array(batch["_tag"].to_numpy()[row]), pa.array(_pack(place, 0, 0))],
-                names=["key", "_id", "_tag", "place"],
+                [batch.column(0), batch.column(0), *(batch.column(k) for k in range(1, 5)), pa.array(anchor), pa.array(rows),
+                 pa.array(rows + (length - GRAM))],
+                names=[f.split()[0] for f in HALF_SCHEMA.split(", ")],
             )
 
     return work
 
 
+def _halved(length: int):
+    """Each row once or twice: its windows with the anchor at the lower and at the upper half of the
+    offsets, if there are any, by the identifier of what all windows of that half share."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLOCK // 256):
+                yield halves(batch.slice(first, BLOCK // 256))
+
+    def halves(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = _flat(batch["bytes"])
+        ids, text = Identifiers(data), data.tobytes()
+        place, more, _ = _unpack(batch["place"].to_numpy())
+        anchor, low, high = (batch[c].to_numpy().astype(np.int64) for c in ("anchor", "low", "high"))
+        middle = (low + high) // 2
+        parts = []
+        for a, b in ((low, middle), (middle + 1, high)):
+            # Windows begin at anchor - offset; the row has those of the offsets anchor - more .. anchor.
+            least, most = np.maximum(a, anchor - more), np.minimum(b, anchor)
+            row = np.flatnonzero(least <= most)
+            a, b, least, most = a[row], b[row], least[row], most[row]
+            base = offsets[row] + anchor[row]
+            shared = _mix(ids.of(base - b + (b - a), base - b + length) + _mix((a * 256 + b).astype(np.uint64)))
+            begin, end = base - most, base - least + length
+            span = _mix(ids.of(begin, end) + (most * 256 + least).astype(np.uint64) * np.uint64(257))
+            key = _mix(shared + _mix(batch["gram"].to_numpy().view(np.uint64)[row]))
+            parts.append((row, key, span, place[row] + (anchor[row] - most), most - least, begin, end, most, a, b))
+        row, key, span, place, more, begin, end, most, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.record_batch(
+            [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), batch["_id"].take(pa.array(row)), batch["_tag"].take(pa.array(row)),
+             pa.array(_pack(place, more, 0)), pa.array([text[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()),
+             *(pa.array(x.astype(np.int32)) for x in (most, a, b))],
+            names=[f.split()[0] for f in HALF_SCHEMA.split(", ")],
+        )
+
+    return work
+
+
+def _refine(crowded: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One halving of large buckets: (repeats, rows of small buckets that are still split, rows of
+    large ones)."""
+    halves = materialize(crowded.mapInArrow(_halved(length), HALF_SCHEMA), "halved-buckets")
+    part = ["gram", "part"]
+    parts = materialize(halves.groupBy(*part).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")), "half-parts")
+    several = parts.where(F.col("_n") > 1)
+    own = materialize(
+        halves.join(several, part, "left_semi").groupBy(*part, "_id", "_tag").agg(F.min("place").alias("_place"), F.count("*").alias("_own"))
+        .where(F.col("_own") > 1).drop("_own"),
+        "half-own",
+    )
+    judged = halves.join(parts, part).join(own, [*part, "_id", "_tag"], "left")
+    later = (F.col("_id") > F.col("_first")) | F.coalesce(F.col("place") > F.col("_place"), F.lit(False))
+    judged = materialize(judged.withColumn("_later", later).drop("_first", "_n", "_place"), "judged-halves")
+    split = parts.groupBy("gram").agg(F.count("*").alias("_m")).where(F.col("_m") > 1).select("gram")
+    openings = materialize(judged.where(~F.col("_later")).drop("_later").join(split, "gram", "left_semi"), "half-openings")
+    sizes = materialize(
+        openings.groupBy("gram").agg(F.count("*").alias("_n")).where(F.col("_n") > MANY).select("gram"), "crowded-halves"
+    )
+    again = judged.where("_later").select("_id", "_tag", "place")
+    return again, openings.join(sizes, "gram", "left_anti"), openings.join(sizes, "gram", "left_semi")
+
+
 def _cut(length: int):
     """What is left of a text without the stretches that its list covers."""
 
@@ -396,22 +483,22 @@ def remove_repeats(
     )
     release(docs.sparkSession)
 
-    # Round 2: single windows. A bucket of few parts is refined where it lies; the windows of
-    # larger ones are reduced by combining aggregates.
+    # Round 2: large buckets are halved until their parts are small, agree or differ.
+    held, again = spans.where(~F.col("many")).drop("many"), covered
+    rest = materialize(
+        spans.where("many").select("gram", "_id", "_tag", "place", "bytes").mapInArrow(_placed_anchors(length), HALF_SCHEMA),
+        "crowded-spans",
+    )
+    while rest.limit(1).count():
+        repeated, small, rest = _refine(rest, length)
+        again, held = again.unionAll(repeated), held.unionAll(small.select(held.columns))
+        rest = materialize(rest, "crowded-spans")
     narrow = (
-        spans.where(~F.col("many")).repartition("gram").sortWithinPartitions("gram", "_id", "place")
+        held.repartition("gram").sortWithinPartitions("gram", "_id", "place")
         .mapInArrow(_repeats_in_buckets(length), "_id bigint, _tag bigint, place bigint")
     )
-    windows = (
-        spans.where("many").mapInArrow(_single_windows(length), "key bigint, _id bigint, _tag bigint, place bigint")
-    )
-    by_text = windows.groupBy("key", "_id", "_tag").agg(F.min("place").alias("_place"))
-    by_key = by_text.groupBy("key").agg(F.min("_id").alias("_first"))
-    wide = windows.join(by_text, ["key", "_id", "_tag"]).join(by_key, "key").where(
-        (F.col("_id") > F.col("_first")) | (F.col("place") > F.col("_place"))
-    )
-    again = narrow.unionAll(wide.select("_id", "_tag", "place"))
-    gone = covered.unionAll(again).groupBy("_id", "_tag").agg(
+    again = again.unionAll(narrow)
+    gone = again.groupBy("_id", "_tag").agg(
         F.collect_list("place").alias("_gone")
     )
     cut = texts.join(gone.hint("shuffle_hash"), ["_id", "_tag"], "left").select("_id", "_text", "_gone")
