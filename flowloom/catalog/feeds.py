@@ -11,6 +11,7 @@ from flowloom.catalog.registry import query
 from flowloom.catalog.tables import CLEAN, FLOWS, LEDGER, LIVE, LIVE_SCORED, TIE, WEEK, clean, flows, ledger, live, live_scored, table, windowed, windowed_sql, with_sql
 from flowloom.operators import hosts, views
 from flowloom.sources import csv, dumps, packets, tables, tail
+from flowloom.sources.sinks import ResultSink
 from flowloom.streaming import feeds, state
 from flowloom.streaming.stepped import SteppedState
 from flowloom.streaming.windows import WindowCloser, run_to_end, tumbling_counts
@@ -36,7 +37,7 @@ def flow_files(spark, sf):
 
     write(f.where("k1 % 2 = 0").withColumn("flow_id", F.col("k1")), {"flow_id": "Flow ID", **WIDE}, "wide")
     write(f.where("k1 % 2 = 1"), SHORT, "short")
-    write(f.where("k1 % 50 = 1"), {"dst_port": " Destination Port", "fwd_packets": "Total Fwd Packets", "label": "Label"}, "bare")
+    write(f, {"dst_port": " Destination Port", "fwd_packets": "Total Fwd Packets", "label": "Label"}, "bare")
     return root
 
 
@@ -54,11 +55,12 @@ def _(spark, sf):
     return csv.inspect_files(spark, [f"{root}/wide", f"{root}/short", f"{root}/bare"]).select("variant", "has_ips", "has_timestamp").distinct()
 
 
-@query("s02_header_names", with_sql(FLOWS) + " SELECT 'dst_port' AS name, count(DISTINCT dst_port) AS n FROM flows WHERE k1 % 2 = 0 UNION ALL SELECT 'src_ip', count(DISTINCT src_ip) FROM flows WHERE k1 % 2 = 0")
+@query("s02_header_names", with_sql(FLOWS) + " SELECT 'dst_port' AS name, count(DISTINCT dst_port) AS n, count(*) AS n_rows FROM flows UNION ALL SELECT 'src_ip', count(DISTINCT src_ip), count(*) FROM flows")
 def _(spark, sf):
     root = flow_files(spark, sf)
-    f = csv.read_flows(spark, [f"{root}/wide"])
-    return f.agg(F.count_distinct("dst_port").alias("dst_port"), F.count_distinct("src_ip").alias("src_ip")).unpivot([], ["dst_port", "src_ip"], "name", "n")
+    f = csv.read_flows(spark, [f"{root}/wide", f"{root}/short"])
+    counts = f.agg(F.count_distinct("dst_port").alias("dst_port"), F.count_distinct("src_ip").alias("src_ip"), F.count(F.lit(1)).alias("n_rows"))
+    return counts.unpivot(["n_rows"], ["dst_port", "src_ip"], "name", "n")
 
 
 @query("s04_unfit_files", "SELECT 1::BIGINT AS n_errors")
@@ -241,6 +243,25 @@ def _(spark, sf):
     return spark.read.schema("window_id bigint, n bigint").json(path)
 
 
+@query("s14_result_sinks", "WITH " + windowed_sql() + " SELECT window_id, count(*) AS n, count(*) AS n_csv, window_id % 3 AS batch, count(*) OVER (PARTITION BY window_id % 3) AS n_rows FROM win GROUP BY window_id")
+def _(spark, sf):
+    """Three micro-batches as JSON, CSV and a report; one runs again, one failed before its commit."""
+    source, root = new_path(spark, "window-results"), new_path(spark, "sinks")
+    rows = windowed(spark, sf).groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
+    part = lambda k: rows.where(F.col("window_id") % 3 == k)
+    for k in range(3):
+        part(k).coalesce(1).write.mode("append").parquet(source)
+    sink = ResultSink(spark, root)
+    part(2).union(part(1)).write.json(f"{root}/json/batch=0")  # what a run left that never committed
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    (stream.writeStream.foreachBatch(sink.process).option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    sink.process(part(0), 1)  # the same batch id again
+    json, csvs = sink.read("json", "window_id bigint, n bigint"), sink.read("csv", "window_id bigint, n_csv bigint").drop("batch")
+    both = json.join(csvs, "window_id", "full").join(sink.read("report", "n_rows bigint"), "batch")
+    return both.select("window_id", "n", "n_csv", "batch", "n_rows")
+
+
 @query("s15_read_ledger", with_sql(LEDGER) + " SELECT incident_id AS id, tx AS tx_hash, source_ip, coalesce(gas_used, -1) AS gas_used, 'confirmed' AS status FROM led")
 def _(spark, sf):
     raw = ledger(spark, sf).select(F.col("incident_id").alias("id"), F.col("tx").alias("tx_hash"), "source_ip", "attack_type", "gas_used")

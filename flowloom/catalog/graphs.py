@@ -196,6 +196,15 @@ def _(spark, sf):
     return edges.select(*TIE, "window_id", "src", "dst", "dst_token", *[r(F.col(c), c) for c in ["log_total_bytes", "log_dt_since_pair", "window_position"]], "direction_flag", "is_real")
 
 
+FINE = WindowOptions(seconds=1800)
+
+
+@query("g01_small_windows", with_sql(windowed_sql(1800)) + " SELECT window_id, count(*) AS n_flows, 'unscored' AS status FROM win GROUP BY 1 HAVING count(*) < 8")
+def _(spark, sf):
+    """Windows that no graph has, as every window is in one table or the other."""
+    return graph.small_windows(clean(spark, sf), FINE)
+
+
 @query("a06_graph_summary", "WITH " + NODE_SQL + """, n AS (SELECT window_id, count(*) AS c FROM nb GROUP BY 1), e AS (SELECT window_id, count(*) * 2 AS c FROM w8 GROUP BY 1)
   SELECT count(*) AS n_graphs, round(avg(n.c), 6) AS nodes_mean, max(n.c) AS nodes_max, round(avg(e.c), 6) AS edges_mean, max(e.c) AS edges_max FROM n JOIN e USING (window_id)""")
 def _(spark, sf):

@@ -265,13 +265,13 @@ def _(spark, sf):
     return host_rows(spark, sf).select("ip")
 
 
-MERGE = """cu AS (SELECT src_ip AS source, dst_ip AS target, count(*) AS n FROM flows WHERE source_file < '1999' GROUP BY 1, 2), ic AS (SELECT src_ip AS source, dst_ip AS target, count(*) AS n FROM flows WHERE source_file >= '2001' AND k1 % 3 = 0 GROUP BY 1, 2)"""
+MERGE = """cu AS (SELECT src_ip AS source, dst_ip AS target, count(*) AS n FROM flows WHERE source_file < '1999' GROUP BY 1, 2), ic AS (SELECT src_ip AS source, dst_ip AS target, count(*) AS n FROM flows WHERE source_file >= '1999' GROUP BY 1, 2)"""
 
 
 def merge_parts(spark, sf):
     f = flows(spark, sf)
     g = lambda x: x.groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(F.count(F.lit(1)).alias("n"))
-    return g(f.where("source_file < '1999'")), g(f.where("source_file >= '2001' AND k1 % 3 = 0"))
+    return g(f.where("source_file < '1999'")), g(f.where("source_file >= '1999'"))
 
 
 @query("u06_merge_graph", with_sql(FLOWS, MERGE) + " SELECT * FROM ic UNION ALL SELECT * FROM cu WHERE (source, target) NOT IN (SELECT source, target FROM ic)")
@@ -306,13 +306,13 @@ def _(spark, sf):
     return inc.healing_history(actions(spark, sf), incidents(spark, sf)).select("incident_ref", "line", "k3", "k4", "k5", "reason", "attack_type", "trigger_score")
 
 
-@query("j03_reconcile_plan", with_sql(INCIDENTS, "want AS (SELECT DISTINCT source_ip AS ip FROM inc WHERE is_blocked AND id % 40 = 0)", "have AS (SELECT DISTINCT source_ip AS ip FROM inc WHERE id % 50 = 0)") + " SELECT coalesce(want.ip, have.ip) AS ip, CASE WHEN have.ip IS NULL THEN 'reapply' ELSE 'remove' END AS step FROM want FULL JOIN have ON want.ip = have.ip WHERE want.ip IS NULL OR have.ip IS NULL")
+@query("j03_reconcile_plan", with_sql(INCIDENTS, "src AS (SELECT source_ip AS ip, arg_max(is_blocked, id) AS wanted, count(*) % 2 = 0 AS installed FROM inc GROUP BY 1)") + " SELECT ip, CASE WHEN wanted THEN 'reapply' ELSE 'remove' END AS step FROM src WHERE wanted <> installed")
 def _(spark, sf):
-    i = incidents(spark, sf)
-    dump = i.select(F.when(F.col("id") % 50 == 0, F.concat(F.lit("cookie=0x0, priority=1000,ip,nw_src="), "source_ip", F.lit(" actions=drop")))
-                    .otherwise(F.concat(F.lit("cookie=0x0, priority=10,ip,nw_src="), "source_ip", F.lit(" actions=NORMAL"))).alias("value"))
-    want = i.where("is_blocked AND id % 40 = 0").select(F.col("source_ip").alias("ip"))
-    return inc.reconcile_plan(want, inc.installed_blocks(dump))
+    """Sources whose newest incident is blocked, against drop rules of the sources with an even number of incidents."""
+    sources = incidents(spark, sf).groupBy("source_ip").agg(F.max_by("is_blocked", "id").alias("wanted"), (F.count(F.lit(1)) % 2 == 0).alias("installed"))
+    rule = F.when(F.col("installed"), F.concat(F.lit("cookie=0x0, priority=1000,ip,nw_src="), "source_ip", F.lit(" actions=drop")))
+    dump = sources.select(rule.otherwise(F.concat(F.lit("cookie=0x0, priority=10,ip,nw_src="), "source_ip", F.lit(" actions=NORMAL"))).alias("value"))
+    return inc.reconcile_plan(sources.where("wanted").select(F.col("source_ip").alias("ip")), inc.installed_blocks(dump))
 
 
 @query("j06_without_blocked", with_sql(INCIDENTS, BLOCKED) + " SELECT id, CASE WHEN blk.ip IS NOT NULL THEN 'already_blocked' END AS skip_reason FROM inc LEFT JOIN blk ON blk.ip = source_ip")
@@ -354,10 +354,10 @@ def _(spark, sf):
     return views.status_overlay(host_rows(spark, sf), alerts, events, b, over).select("ip", "status")
 
 
-@query("j15_first_incident_since", with_sql(INCIDENTS) + ", rn AS (SELECT id AS run_id, source_ip, created - 40000 AS since FROM inc WHERE id % 5 = 0) SELECT run_id, (SELECT min(id) FROM inc WHERE inc.source_ip = rn.source_ip AND inc.created >= rn.since AND data_source = 'ovs') ::DOUBLE AS incident_id FROM rn")
+@query("j15_first_incident_since", with_sql(INCIDENTS) + ", rn AS (SELECT id AS run_id, source_ip, created - 40000 AS since FROM inc) SELECT run_id, (SELECT min(id) FROM inc WHERE inc.source_ip = rn.source_ip AND inc.created >= rn.since AND data_source = 'ovs') ::DOUBLE AS incident_id FROM rn")
 def _(spark, sf):
     i = incidents(spark, sf)
-    runs = i.where("id % 5 = 0").select(F.col("id").alias("run_id"), "source_ip", (F.col("created") - 40000).alias("since"))
+    runs = i.select(F.col("id").alias("run_id"), "source_ip", (F.col("created") - 40000).alias("since"))
     return inc.first_incident_since(runs, i).select("run_id", F.col("incident_id").cast("double").alias("incident_id"))
 
 
@@ -509,9 +509,9 @@ def _(spark, sf):
     return rounded(rules.host_detections(nodes, s, 0.98).select("window_id", "host", "threat", "out_degree", "in_degree"))
 
 
-@query("m03_policy_coverage", "WITH " + scored_sql() + ",\n" + POL + ",\n" + VERD + " SELECT DISTINCT attack_class, 'no_policy' AS problem FROM vd WHERE attack_class <> 'Botnet' AND attack_class NOT IN (SELECT attack_class FROM pol) UNION ALL SELECT attack_class, 'never_predicted' FROM pol WHERE attack_class = 'Botnet'")
+@query("m03_policy_coverage", "WITH " + scored_sql() + ",\n" + POL + ",\n" + VERD + " SELECT DISTINCT attack_class, 'no_policy' AS problem FROM vd WHERE attack_class NOT IN (SELECT attack_class FROM pol) UNION ALL SELECT attack_class, 'never_predicted' FROM pol WHERE attack_class NOT IN (SELECT attack_class FROM vd)")
 def _(spark, sf):
-    return rules.policy_coverage(verdicts(spark, sf).where("attack_class <> 'Botnet'"), rules.policy_table(spark, POLICY), "BENIGN")
+    return rules.policy_coverage(verdicts(spark, sf), rules.policy_table(spark, POLICY), "BENIGN")
 
 
 @query("m05_rule_text", RBASE + f""" SELECT {K}, 'ovs-ofctl add-flow br0 "priority=' || priority || ',' || CASE protocol WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' ELSE 'icmp' END || ',nw_src=' || src_ip || ',nw_dst=' || dst_ip || CASE WHEN protocol IN (6, 17) AND dst_port > 0 THEN ',tp_dst=' || dst_port ELSE '' END || ',idle_timeout=' || idle || ',hard_timeout=' || hard || ',actions=' || CASE WHEN action LIKE 'drop%' THEN 'drop' ELSE 'normal' END || '"' AS command,

@@ -14,12 +14,12 @@ FEW = SplitOptions(gap_seconds=5 * DAY, episode_gap_seconds=3 * DAY)
 
 
 def rare(spark, sf):
-    """Attacks thinned to some weeks of a year, so that classes have bursts."""
-    week = F.floor(F.col("t") / WEEK)
-    return clean(spark, sf).where((F.col("y") == 0) | (week % 13 == F.col("y") * 2))
+    """Attacks moved into one week of every 13, each class into its own, so that classes have bursts."""
+    week = F.floor(F.col("t") / WEEK) % 13
+    return clean(spark, sf).withColumn("t", F.when(F.col("y") == 0, F.col("t")).otherwise(F.col("t") + (F.col("y") * 2 - week) * WEEK))
 
 
-RARE = CLEAN + f",\nrare AS (SELECT * FROM clean WHERE y = 0 OR t // {WEEK} % 13 = y * 2)"
+RARE = CLEAN + f",\nrare AS (SELECT * REPLACE (CASE WHEN y = 0 THEN t ELSE t + (y * 2 - t // {WEEK} % 13) * {WEEK} END AS t) FROM clean)"
 
 
 def rank_sql(src, by, gap):
