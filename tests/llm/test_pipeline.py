@@ -5,7 +5,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from flowloom.llm.queries import BYTE_BPE
+from tests.llm.test_components_by_hand import roots_of
 from tests.llm.test_decontamination import plain as plain_contaminations
+from tests.llm.test_near_documents import plain_links
 from tests.llm.test_simhash import plain as plain_groups
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +28,9 @@ def test_stages_do_what_their_operators_find(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     single = stages["simhash near-dedup"](spark, docs, SF)
     assert single.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in single.collect()) == sorted(a for a, _, root in plain_groups(rows) if a == root)
+    links = [(int(a), int(root)) for a, _, root in plain_groups(rows, width=5) if a != root] + plain_links(rows)
+    roots = roots_of(links)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(a for a, _ in rows if roots.get(a, a) == a)
 
     clean = stages["benchmark decontamination"](spark, docs, SF)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

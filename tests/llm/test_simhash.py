@@ -36,8 +36,8 @@ def plain_groups(links, nodes):
     return {x: find(x) for x in nodes}
 
 
-def plain(rows, radius=4):
-    prints = [plain_fingerprint(r[1] or "") for r in rows]
+def plain(rows, radius=4, width=4):
+    prints = [plain_fingerprint(r[1] or "", width) for r in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i)
              if (prints[i] ^ prints[j]).bit_count() <= radius]
     roots = plain_groups(links, range(len(rows)))
