@@ -9,6 +9,7 @@ different count values (at most the square root of twice the flows).
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom.constants import EPS
+from flowloom.workspace import checked_broadcast
 
 
 # ----------------------------------------------------------------- windows
@@ -52,8 +53,10 @@ def assign_sliding_windows(
 
 
 def keep_full_windows(df: DataFrame, min_edges: int, keys: list[str] = ("window_id",)) -> DataFrame:
+    """Rows of the windows with enough flows. The list of windows is small and sent to every task
+    after a check of its size, so a flood window is not gathered by its number."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_edges)
-    return df.join(sizes.drop("_n"), list(keys), "left_semi")
+    return df.join(checked_broadcast(sizes.drop("_n"), "full-windows"), list(keys), "left_semi")
 
 
 # --------------------------------------------------------- time since contact

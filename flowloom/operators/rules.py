@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from flowloom.constants import POLICY_ROWS, POLICY_SCHEMA
 from flowloom.functions import scoring
 from flowloom.operators.ordered import top_in_group
-from flowloom.workspace import checked_broadcast
+from flowloom.workspace import checked_broadcast, new_path, written_bytes
 
 
 def policy_table(spark, rows=POLICY_ROWS) -> DataFrame:
@@ -169,13 +169,42 @@ def rule_check(verdicts: DataFrame, truth: DataFrame, floors: DataFrame, key: li
     return counts.join(mid, ["y", "pred"])
 
 
+HEAVY = 200_000  # edges of a host in a window from which it is not joined by shuffle
+SMALL = 32 << 20  # bytes of node rows that are sent to every task
+
+
 def tabular_rows(edges: DataFrame, nodes: DataFrame, edge_features: list[str], node_features: list[str],
                  keys=("window_id",), ids: list[str] = ()) -> DataFrame:
-    """Edge features with those of both ends: 20 + 2 x 16 columns."""
-    keys = list(keys)
-
-    def side(end, prefix):
-        return nodes.select(*keys, F.col("host").alias(end), *[F.col(f).alias(f"{prefix}_{f}") for f in node_features])
+    """Edge features with those of both ends: 20 + 2 x 16 columns.
 
+    Node rows are written once for both ends. If they are small, they are sent to every task.
+    Otherwise the hosts with ``HEAVY`` edges or more in a window, of which there are few, are sent, and
+    only the edges of the others are joined by shuffle; a heavy host's edges stay spread."""
+    spark = edges.sparkSession
+    keys = list(keys)
+    path = new_path(spark, "tabular-nodes")
+    nodes.select(*keys, "host", *node_features).write.parquet(path)
+    known = spark.read.parquet(path)
+    small = written_bytes(spark, path) <= SMALL
     rows = edges.select(*keys, *ids, "src", "dst", "y", *edge_features)
-    return rows.join(side("src", "src"), [*keys, "src"]).join(side("dst", "dst"), [*keys, "dst"])
+    order = list(rows.columns)
+    for end in ("src", "dst"):
+        named = {f: f"{end}_{f}" for f in node_features}
+        side = known.select(*keys, F.col("host").alias(end), *[F.col(f).alias(n) for f, n in named.items()])
+        rows = rows.join(F.broadcast(side), [*keys, end]) if small else _join_apart(rows, side, keys, end, list(named.values()))
+        order += named.values()
+    return rows.select(*order)
+
+
+def _join_apart(rows: DataFrame, side: DataFrame, keys: list[str], end: str, columns: list[str]) -> DataFrame:
+    """Rows with the columns of their end, heavy ends through a broadcast. What was found there goes
+    through the shuffle under a spread key that no host has."""
+    counts = rows.groupBy(*keys, end).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HEAVY).drop("_n")
+    heavy = checked_broadcast(
+        side.join(counts, [*keys, end]).select(*keys, end, F.struct(*columns).alias("_heavy")), "heavy-hosts"
+    )
+    spread = -1 - F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(4096))
+    met = rows.join(heavy, [*keys, end], "left").withColumn("_slot", F.when(F.col("_heavy").isNull(), F.col(end)).otherwise(spread))
+    others = side.select(*keys, F.col(end).alias("_slot"), F.struct(*columns).alias("_other"))
+    found = met.join(others, [*keys, "_slot"], "left").withColumn("_end", F.coalesce("_heavy", "_other"))
+    return found.where(F.col("_end").isNotNull()).select(*rows.columns, *[F.col(f"_end.{c}").alias(c) for c in columns])
