@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowloom.llm.base import text_or_empty
 from flowloom.llm.token_files import flat_texts
-from flowloom.llm.words import runs, text_words, word_ids
+from flowloom.llm.words import RunningHash, runs, text_words, word_ids
 
 BLOCK_BYTES = 8 << 20  # of items' texts that are sent to the executors at a time
 BITS = 20
+PAIRS = 1 << 20  # pairs of places in a text and an item that are held together
 
 
 def _stretches(marked: np.ndarray, width: int) -> np.ndarray:
@@ -29,41 +30,68 @@ def _stretches(marked: np.ndarray, width: int) -> np.ndarray:
     return total[width:] == total[: len(total) - width]
 
 
-def _common(text: np.ndarray, item: np.ndarray, text_free: np.ndarray, item_free: np.ndarray, size: int):
+def _common(text: RunningHash, item: RunningHash, text_free: np.ndarray, item_free: np.ndarray, size: int):
     """Longest extensions (length, place in text, place in item) of all unmarked stretches of
-    ``size`` words that text and item share."""
-    a, b = runs(text, size), runs(item, size)
+    ``size`` words that text and item share, in arrays. Pairs of places are made for a part of the
+    text at a time, ``PAIRS`` together or those of one place, and stretches that reach the end of a
+    part go on in the next."""
+    a, b = text.runs(size), item.runs(size)
     a_at = np.flatnonzero(_stretches(~text_free, size)[: len(a)])
     b_at = np.flatnonzero(_stretches(~item_free, size)[: len(b)])
     order = np.argsort(b[b_at], kind="stable")
     b_at = b_at[order]
     low, high = np.searchsorted(b[b_at], a[a_at], "left"), np.searchsorted(b[b_at], a[a_at], "right")
-    count = high - low
-    i = np.repeat(a_at, count)
-    j = b_at[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-    # Neighbours on one diagonal are one stretch.
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    if not len(i):
-        return []
-    fresh = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(i - j) != 0)])
-    first = np.flatnonzero(fresh)
-    length = np.diff(np.append(first, len(i))) + size - 1
-    return list(zip(length.tolist(), i[first].tolist(), j[first].tolist(), strict=True))
+    met = np.flatnonzero(high > low)
+    a_at, low, count = a_at[met], low[met], (high - low)[met]
+    upto = np.cumsum(count)
+    found, nothing = [], np.zeros(0, np.int64)
+    open_diagonal, open_i, open_n = nothing, nothing, nothing
+    at = 0
+    while at < len(a_at):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        part = count[at:end]
+        i = np.repeat(a_at[at:end], part)
+        j = b_at[np.repeat(low[at:end] - (np.cumsum(part) - part), part) + np.arange(part.sum())]
+        order = np.lexsort((i, i - j))
+        i, diagonal = i[order], (i - j)[order]
+        # Neighbours on one diagonal are one stretch.
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(diagonal) != 0)]))
+        n = np.diff(np.append(first, len(i)))
+        i, diagonal = i[first], diagonal[first]
+        if len(open_i):
+            place = np.minimum(np.searchsorted(diagonal, open_diagonal), len(diagonal) - 1)
+            goes_on = (diagonal[place] == open_diagonal) & (i[place] == open_i + open_n)
+            i[place[goes_on]] = open_i[goes_on]
+            n[place[goes_on]] += open_n[goes_on]
+            found.append((open_n[~goes_on], open_i[~goes_on], (open_i - open_diagonal)[~goes_on]))
+        still = i + n - 1 == a_at[end - 1]
+        open_diagonal, open_i, open_n = diagonal[still], i[still], n[still]
+        found.append((n[~still], i[~still], (i - diagonal)[~still]))
+        at = end
+    found.append((open_n, open_i, open_i - open_diagonal))
+    n, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return n + size - 1, i, j
 
 
 def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (length, place in text, place in item) of at least ``least`` words: always the
     longest stretch that no tile overlaps, ties to the earlier place in text, then item."""
     text_free, item_free = np.ones(len(text), bool), np.ones(len(item), bool)
+    hashes = RunningHash(text), RunningHash(item)
     tiles = []
     size = max(least, min(len(text), len(item)) // 2)
-    while min(len(text), len(item)) >= least:
-        found = _common(text, item, text_free, item_free, size)
-        queue = [(-n, i, j) for n, i, j in found]
-        heapq.heapify(queue)
-        while queue:
-            n, i, j = heapq.heappop(queue)
+    while min(len(text), len(item)) >= least and item_free.sum() >= least:
+        length, i_at, j_at = _common(*hashes, text_free, item_free, size)
+        order = np.lexsort((j_at, i_at, -length))
+        queue: list[tuple[int, int, int]] = []  # what is left of stretches that a tile overlaps
+        at = 0
+        while (queue or at < len(order)) and item_free.any():
+            head = (-int(length[order[at]]), int(i_at[order[at]]), int(j_at[order[at]])) if at < len(order) else None
+            if head is None or (queue and queue[0] < head):
+                n, i, j = heapq.heappop(queue)
+            else:
+                n, i, j = head
+                at += 1
             free = text_free[i : i - n] & item_free[j : j - n]
             if free.all():
                 tiles.append((-n, i, j))
@@ -103,6 +131,8 @@ class Items:
             grams = runs(ids, self.least)
             at = np.flatnonzero(self.filter[(grams >> np.uint64(64 - BITS)).astype(np.int64)])
             at = at[text[at] == text[at + self.least - 1]]
+            # Each seed of a text once, however often the text repeats it.
+            at = at[np.unique(np.stack([text[at].astype(np.uint64), grams[at]]), axis=1, return_index=True)[1]]
             low = np.searchsorted(self.seed, grams[at], "left")
             count = np.searchsorted(self.seed, grams[at], "right") - low
             if not count.sum():
@@ -128,7 +158,8 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size; the driver holds one at a time."""
+    """Items in blocks of bounded size. Every block is sent to the executors and stays in the plan of
+    its pass over the texts: the whole benchmark must fit in the driver's memory."""
     held, size = [], 0
     texts = benchmark.select(F.col(item_col).cast("bigint"), F.lower(text_or_empty(text_col)))
     for name, text in texts.toLocalIterator():
@@ -186,6 +217,5 @@ def decontaminated(
                 yield batch.select([0]).filter(pa.array(clean))
 
         packed = docs.select(F.struct("*").alias("_row"), F.lower(text_or_empty(text_col)).alias("_text"))
-        kind = packed.schema["_row"].dataType.simpleString()
-        docs = packed.mapInArrow(work, f"_row {kind}").select("_row.*")
+        docs = packed.mapInArrow(work, T.StructType([packed.schema["_row"]])).select("_row.*")
     return docs

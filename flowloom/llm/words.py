@@ -46,6 +46,28 @@ def runs(ids: np.ndarray, width: int) -> np.ndarray:
     return mix(found)
 
 
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+class RunningHash:
+    """Identifiers of runs of any width from one pass over the words: a run's polynomial is the
+    difference of two prefix sums, moved to the first place."""
+
+    def __init__(self, ids: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * _powers(MULTIPLIER, len(ids)), dtype=np.uint64)])
+        self.back = _powers(INVERSE, len(ids) + 1)
+
+    def runs(self, width: int) -> np.ndarray:
+        n = max(0, len(self.sums) - width)
+        return mix((self.sums[width : width + n] - self.sums[:n]) * self.back[:n])
+
+
 def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
     """(first, end) of consecutive texts that together have at most ``limit`` bytes; a longer
     text comes alone."""

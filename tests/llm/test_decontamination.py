@@ -123,3 +123,34 @@ def test_words_of_equal_beginnings_are_no_match(spark):
     docs = spark.createDataFrame([(1, text), (2, f"so {item} then")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     assert [r["doc_id"] for r in D.contaminations(docs, items).collect()] == [2]
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 100])
+def test_tiles_do_not_depend_on_how_pairs_are_cut(monkeypatch, pairs):
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    rnd = random.Random(pairs)
+    for _ in range(60):
+        a = [rnd.randrange(3) for _ in range(rnd.randint(0, 40))]
+        b = [rnd.randrange(3) for _ in range(rnd.randint(0, 25))]
+        got = D.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert sorted(got) == sorted(plain_tiles(a, b, 3))
+
+
+def test_a_long_text_of_one_word_is_held_in_parts(monkeypatch):
+    """200,000 times one word against an item of 300 times that word: 60 million pairs of places."""
+    import tracemalloc
+
+    monkeypatch.setattr(D, "PAIRS", 1 << 16)
+    items = D.Items([(1, "spam " * 300)], 5, 0.8)
+    data = np.frombuffer(("spam " * 200_000).encode(), np.uint8)
+    tracemalloc.start()
+    found = list(items.matches(data, np.array([0, len(data)])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 1.0, 1, 300)] and most < 150e6
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 2, 3), (2, "clean", 4, 5)], ["doc_id", "text", "page url", "a:b.c"])
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
+    assert [tuple(r) for r in D.decontaminated(docs, items).collect()] == [(2, "clean", 4, 5)]
