@@ -15,9 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowloom.llm.base import byte_views
+from flowloom.llm.base import byte_views, quoted
 from flowloom.workspace import materialize
 
 #: ASCII other than letters, digits, and bytes of wider characters separate words.
@@ -178,11 +178,11 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic", max_examples: int = 6_000, max_terms: int = 20_000, k: int = 15,
+    label_col: str = "toxic", max_examples: int = 6_000, k: int = 15,
     doubt: float = 1.0, least: int = 5, chance: float = 50.0, fitted_on: int = 2_000,
 ) -> Model:
     """Fit on at most ``max_examples`` labelled rows, taken in the order of a hash of the id;
-    what reaches the driver is bounded by that number and ``max_terms``.
+    what reaches the driver is bounded by that number of texts.
 
     An id labelled twice counts as toxic if any row says so; null ids and null labels are left
     out; equal texts are one example, with the label of the first. Without examples every score
@@ -222,8 +222,8 @@ def train(
     expected = F.col("both") * n_toxic / max(n, 1)
     spread = F.greatest(expected * (1 - n_toxic / max(n, 1)) * (1 - F.col("both") / max(n, 1)), F.lit(1e-9))
     departs = table.withColumn("chi", F.pow(F.col("toxic") - expected, 2) / spread).where(F.col("chi") > chance)
-    chosen_terms = departs.orderBy(F.desc("chi"), "term").limit(max_terms)
-    both = dict(sorted((r.term, r.both) for r in chosen_terms.select("term", "both").collect()))
+    chosen_terms = departs.select("term", "both")
+    both = dict(sorted((r.term, r.both) for r in chosen_terms.collect()))
     vectors: list[dict[str, int]] = [{} for _ in chosen]
     kept = counts.join(F.broadcast(chosen_terms.select("term")), "term", "left_semi")
     for row in kept.select("example", "term", "n").collect():
@@ -237,8 +237,8 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
     nearest examples as ``evidence_ids`` and ``evidence_cosines``. A text without known terms,
     null and empty ones included, has no evidence and the score that the prior maps to. Rows
     repeat as given; an empty table gives an empty result."""
-    picked = docs.select(F.col(text_col).alias("_text"), F.struct(*columns).alias("_row"))
-    kind = picked.schema["_row"].dataType.simpleString()
+    picked = docs.select(F.col(text_col).alias("_text"), F.struct(*map(quoted, columns)).alias("_row"))
+    numbers = T.StructType.fromDDL("score double, evidence_ids array<bigint>, evidence_cosines array<double>")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(model.index.number)
@@ -259,9 +259,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
                 names=["_row", "score", "evidence_ids", "evidence_cosines"],
             )
 
-    scored = picked.mapInArrow(
-        work, f"_row {kind}, score double, evidence_ids array<bigint>, evidence_cosines array<double>"
-    )
+    scored = picked.mapInArrow(work, T.StructType([picked.schema["_row"], *numbers.fields]))
     return scored.select(
         *[F.col("_row")[c].alias(c) for c in columns], "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines",
