@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.llm.base import text_or_empty
+from flowloom.llm.base import quoted, text_or_empty
 from flowloom.operators.ordered import running_totals
 from flowloom.workspace import checked_broadcast, materialize
 
@@ -155,7 +155,7 @@ def mixture(
     )
     names = [c for c in columns or docs.columns if c not in ADDED]
     rows = docs.select(
-        F.struct(*names).alias("_all"), source.alias("_src"), row.alias("_row"), count_words(text).alias("mix_tokens")
+        F.struct(*map(quoted, names)).alias("_all"), source.alias("_src"), row.alias("_row"), count_words(text).alias("mix_tokens")
     ).join(plan, F.col("_src") == F.col("_psrc")).withColumn("_block", block).drop("_psrc", "_total", "_passes", "_blocks")
     key = F.xxhash64("_row", "mix_epoch")
     return rows.join(draws, (F.col("_src") == F.col("_dsrc")) & (F.col("_block") == F.col("_dblock"))).where(
