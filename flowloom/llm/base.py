@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowloom.workspace import new_path
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts may hold in a Python worker."""
+def text_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Bound what one Arrow batch of whole texts may hold in a Python worker, in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
