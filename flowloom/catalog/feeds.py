@@ -63,17 +63,22 @@ def _(spark, sf):
     return counts.unpivot(["n_rows"], ["dst_port", "src_ip"], "name", "n")
 
 
-@query("s04_unfit_files", "SELECT 1::BIGINT AS n_errors")
+@query("s04_unfit_files", "SELECT * FROM (VALUES ('bare', false, true), ('short', true, false), ('wide', true, false)) v(folder, has_ips, refused)")
 def _(spark, sf):
-    """The check refuses files without addresses before any flow is read."""
+    """The check refuses files without addresses before any flow is read, and only those."""
     root = flow_files(spark, sf)
-    report = csv.inspect_files(spark, [f"{root}/bare"])
-    try:
-        csv.validate_files(spark, [f"{root}/bare"])
-        n = 0
-    except ValueError:
-        n = 1
-    return report.agg((F.max(F.lit(n)).cast("bigint")).alias("n_errors"))
+    folders = ["bare", "short", "wide"]
+
+    def refused(folder):
+        try:
+            csv.validate_files(spark, [f"{root}/{folder}"])
+            return False
+        except ValueError:
+            return True
+
+    report = csv.inspect_files(spark, [f"{root}/{folder}" for folder in folders])
+    found = report.groupBy(F.regexp_extract("file", "/(bare|short|wide)/", 1).alias("folder")).agg(F.bool_and("has_ips").alias("has_ips"))
+    return found.join(spark.createDataFrame([(f, refused(f)) for f in folders], "folder string, refused boolean"), "folder")
 
 
 def dump_lines(spark, sf):
@@ -478,7 +483,7 @@ def _(spark, sf):
     return feeds.source_health(polls(spark, sf))
 
 
-@query("r14_overall_health", with_sql(POLLS) + " SELECT 'down' AS status, count(*) FILTER (status <> 'ok') AS n_not_ok FROM po")
+@query("r14_overall_health", with_sql(POLLS) + " SELECT CASE WHEN bool_or(status <> 'ok' AND source = 'view') THEN 'down' WHEN bool_or(status <> 'ok') THEN 'degraded' ELSE 'ok' END AS status, count(*) FILTER (status <> 'ok') AS n_not_ok FROM po")
 def _(spark, sf):
     return feeds.component_health(polls(spark, sf).withColumn("required", F.col("source") == "view"))
 

@@ -300,10 +300,23 @@ def _(spark, sf):
 
 
 # ----------------------------------------------------------------------- joins
-@query("j01_healing_history", with_sql(INCIDENTS, ACTIONS) + """ SELECT incident_ref, line, k3, k4, k5, reason, CASE WHEN attack_type IN ('DDoS','PortScan','SSHBrute','Botnet','DoSHulk','Manual') THEN attack_type WHEN reason LIKE '%MANUAL%' THEN 'Manual' WHEN reason LIKE '%GNN%' THEN 'DDoS' ELSE 'Unknown' END AS attack_type,
-  round_even(coalesce(threat_score, 0), 4) AS trigger_score FROM act LEFT JOIN inc ON act.incident_id = inc.id WHERE action = 'block'""")
+HEALED = """healed AS (SELECT incident_ref, line, k3, k4, k5, ip_address, 'ISOLATED' AS action, reason, act.created, edges_severed, duration_ms, round(network_stability_before, 4) AS network_stability_before, round(network_stability_after, 4) AS network_stability_after, status AS enforcement_status,
+  CASE WHEN attack_type IN ('DDoS','PortScan','SSHBrute','Botnet','DoSHulk','Manual','Heuristic','Unknown') THEN attack_type WHEN reason LIKE '%MANUAL%' THEN 'Manual' WHEN reason LIKE '%GNN%' THEN 'DDoS' ELSE 'Unknown' END AS attack_type,
+  round_even(coalesce(threat_score, 0), 4) AS trigger_score FROM act LEFT JOIN inc ON act.incident_id = inc.id WHERE action = 'block')"""
+EVENT = ["incident_ref", "line", "k3", "k4", "k5", "ip_address", "action", "reason", "created", "edges_severed", "duration_ms",
+         "network_stability_before", "network_stability_after", "enforcement_status", "attack_type", "trigger_score"]
+
+
+@query("j01_healing_history", with_sql(INCIDENTS, ACTIONS, HEALED) + " SELECT * FROM healed")
+def _(spark, sf):
+    return rounded(inc.healing_history(actions(spark, sf), incidents(spark, sf)).select(EVENT), network_stability_before=4, network_stability_after=4)
+
+
+@query("j01_healing_events", with_sql(INCIDENTS, ACTIONS, HEALED) + " SELECT * FROM healed ORDER BY created DESC, incident_ref DESC, line DESC, k3 DESC, k4 DESC, k5 DESC LIMIT 100")
 def _(spark, sf):
-    return inc.healing_history(actions(spark, sf), incidents(spark, sf)).select("incident_ref", "line", "k3", "k4", "k5", "reason", "attack_type", "trigger_score")
+    """The report of the newest 100."""
+    order = ["created", "incident_ref", "line", "k3", "k4", "k5"]
+    return rounded(inc.healing_events(actions(spark, sf), incidents(spark, sf), order).select(EVENT), network_stability_before=4, network_stability_after=4)
 
 
 @query("j03_reconcile_plan", with_sql(INCIDENTS, "src AS (SELECT source_ip AS ip, arg_max(is_blocked, id) AS wanted, count(*) % 2 = 0 AS installed FROM inc GROUP BY 1)") + " SELECT ip, CASE WHEN wanted THEN 'reapply' ELSE 'remove' END AS step FROM src WHERE wanted <> installed")

@@ -295,6 +295,10 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("MANUAL_OVERRIDE").alias("reason"),
         F.when(F.col("l_partkey") % 3 != 0, F.col("l_orderkey")).alias("incident_id"),
         F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey")).alias("duration_ms"),
+        F.when(F.col("l_partkey") % 5 != 0, F.col("l_orderkey") % 40).alias("edges_severed"),
+        F.when(F.col("l_partkey") % 7 != 0, F.col("l_discount").cast("double")).alias("network_stability_before"),
+        F.when(F.col("l_partkey") % 7 != 0, F.col("l_tax").cast("double")).alias("network_stability_after"),
+        F.when(F.col("l_linestatus") == "F", "applied").otherwise("pending").alias("status"),
         t.alias("created"),
     )
 
@@ -305,6 +309,10 @@ ACTIONS = """act AS (SELECT l_orderkey AS incident_ref, l_linenumber AS line, l_
   CASE l_linenumber % 4 WHEN 0 THEN 'GNN_DETECTED' WHEN 2 THEN 'RECONCILE_REAPPLY' ELSE 'MANUAL_OVERRIDE' END AS reason,
   CASE WHEN l_partkey % 3 <> 0 THEN l_orderkey END AS incident_id,
   CASE WHEN l_partkey % 5 <> 0 THEN l_partkey END AS duration_ms,
+  CASE WHEN l_partkey % 5 <> 0 THEN l_orderkey % 40 END AS edges_severed,
+  CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_discount AS DOUBLE) END AS network_stability_before,
+  CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_tax AS DOUBLE) END AS network_stability_after,
+  CASE WHEN l_linestatus = 'F' THEN 'applied' ELSE 'pending' END AS status,
   CAST(epoch(l_shipdate) AS BIGINT) + l_orderkey * 31 % 86400 AS created FROM lineitem)"""
 
 

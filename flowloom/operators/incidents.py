@@ -88,7 +88,8 @@ def without_blocked(incidents: DataFrame, blocked: DataFrame, ip: str = "source_
 
 # -------------------------------------------------------------------- history
 def healing_history(actions: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Block actions with the type and score of their incident, or what the reason implies."""
+    """Block actions with the type and score of their incident, or what the reason implies, and with
+    what was measured when the block was made; what was not measured stays null."""
     i = incidents.select(
         F.col("id").alias("incident_id"), F.col("attack_type").alias("_type"), F.col("threat_score").alias("_score")
     )
@@ -99,8 +100,15 @@ def healing_history(actions: DataFrame, incidents: DataFrame) -> DataFrame:
         .otherwise("Unknown")
     )
     return j.withColumns({
-        "attack_type": kind, "trigger_score": F.bround(F.coalesce("_score", F.lit(0.0)), 4),
-    }).drop("_type", "_score")
+        "attack_type": kind, "trigger_score": F.bround(F.coalesce("_score", F.lit(0.0)), 4), "action": F.lit("ISOLATED"),
+    }).withColumnRenamed("status", "enforcement_status").drop("_type", "_score")
+
+
+def healing_events(actions: DataFrame, incidents: DataFrame, order: list[str], limit: int = 100) -> DataFrame:
+    """The newest healing events, at most 100: ``order`` is newest first. Only the actions that are
+    shown meet the incidents."""
+    newest = actions.where(F.col("action") == "block").orderBy(*[F.desc(c) for c in order]).limit(max(1, min(limit, 100)))
+    return healing_history(newest, incidents).orderBy(*[F.desc(c) for c in order])
 
 
 def first_incident_since(runs: DataFrame, incidents: DataFrame) -> DataFrame:
