@@ -6,10 +6,18 @@ from pyarrow import fs
 from pyspark import TaskContext
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, also by the names that Spark has for S3, and the place in it."""
+    scheme, sign, rest = path.partition("://")
+    if not sign:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(f"{({'s3a': 's3', 's3n': 's3'}).get(scheme, scheme)}://{rest}")
+
+
 def write_file(path: str, content: bytes) -> None:
     """Write under a name of this task attempt, then rename: a repeated or parallel attempt
     leaves one whole file."""
-    system, target = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    system, target = file_system(path)
     context = TaskContext.get()
     draft = f"{target}.{context.taskAttemptId() if context else 0}.draft"
     with system.open_output_stream(draft) as out:
@@ -20,7 +28,7 @@ def write_file(path: str, content: bytes) -> None:
 
 
 def make_folder(path: str) -> None:
-    system, target = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    system, target = file_system(path)
     system.create_dir(target, recursive=True)
 
 
