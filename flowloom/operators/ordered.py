@@ -68,11 +68,31 @@ def running_totals(
 
 
 def row_ranks(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Zero-based position of every row within its key."""
+    """Zero-based position of every row within its key; of all rows without keys."""
+    if not keys:
+        return _positions(df, order, name)
     ranked = running_totals(df, keys, order, {name: F.lit(1).cast("bigint")})
     return ranked.withColumnRenamed(f"{name}_before", name)
 
 
+ROW_BITS = 33  # Spark's increasing ids have the number of the row in its partition in these
+
+
+def _positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Position of every row in one order over the whole table, with one exchange: rows are sorted
+    in range partitions and numbered as they are written; how many rows lie in the partitions
+    before comes from a table of one row for each."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    stored = materialize(placed.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    part, place = F.shiftright("_id", ROW_BITS), F.col("_id").bitwiseAND((1 << ROW_BITS) - 1)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = stored.join(F.broadcast(offsets), part == F.col("_part"))
+    return numbered.withColumn(name, F.col("_before") + place).drop("_id", "_part", "_before")
+
+
 SKETCH = 20_000  # a sketched quantile is off by at most one in so many ranks
 
 
