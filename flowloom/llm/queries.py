@@ -24,16 +24,19 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of every document, by temperature weights of the sources; see ``mixture``."""
     return mixture(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all texts, read back: where each document stands. Null texts have their end id only."""
     folder = new_path(spark, "tokens")
     files = write_tokens(table(spark, sf_dir, "documents"), folder, BYTE_BPE, end_id=2)
     return read_tokens(files, folder)
 
 
 def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back: one row per page. A null page id or payload is defined in ``write_archives``."""
     folder = new_path(spark, "warc")
     files = write_archives(table(spark, sf_dir, "pages"), folder)
     records = read_archives(spark, folder, files).where(F.col("kind") == "record")
@@ -54,18 +57,22 @@ FROM k
 
 
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without repeated strings of 100 bytes; see ``remove_repeats``."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document, null and empty texts included; see ``simhash_groups``."""
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike they are; see ``edited_fingerprints``."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op7_contaminations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold a test item; see ``contaminations``."""
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -75,6 +82,7 @@ def training_fold(labels: DataFrame) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text; labels are learnt from the training fold only. A null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, training_fold(table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model, ["doc_id"])
@@ -83,6 +91,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all texts, through a new digest cache; see ``token_counts``."""
     return token_counts(table(spark, sf_dir, "documents"), PIECE_BPE, new_path(spark, "counts"))
 
 
