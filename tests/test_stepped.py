@@ -16,7 +16,7 @@ def vectors(seed, n, d):
 
 
 def fold(components, windows, follow):
-    """The reference's step, one window after the other: gate, nearest, moving moments, anchor."""
+    """One window after the other: gate, nearest component, moving moments, anchor."""
     means = [np.array(c["mean"]) for c in components]
     covs = [np.array(c["cov"]) for c in components]
     first, out = [c.copy() for c in covs], []
