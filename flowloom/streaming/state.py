@@ -18,15 +18,38 @@ def _ordered(frames, column="window_end") -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(column, kind="mergesort")
 
 
-def _episodes(rows: pd.DataFrame, last: int, ttl: int) -> list[tuple[int | None, pd.DataFrame]]:
-    """A key's ordered rows, cut where it was silent for longer than ``ttl``: (when what was known
-    before expired, rows). Nothing expires before the first part of a key that is not known."""
-    ends = rows.window_end.to_numpy(np.int64)
+def _windows(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, flows) of a key's windows in order."""
+    frames = list(frames)
+    ends, flows = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("window_end", "flows_now"))
+    order = np.argsort(ends, kind="stable")
+    return ends[order], flows[order].astype(np.int64)
+
+
+def _silences(ends: np.ndarray, last: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places among a key's ordered windows before which it was silent for longer than ``ttl``,
+    and when what was known before each expired. Nothing expires before the first window of a key
+    that is not known."""
     before = np.append(last or ends[0], ends[:-1])
     cuts = np.flatnonzero(ends - before > ttl)
-    parts = np.split(np.arange(len(ends)), cuts)
-    expired = [None, *(before[cuts] + ttl).tolist()]
-    return [(gone, rows.iloc[part]) for gone, part in zip(expired, parts, strict=True) if len(part) or gone is not None]
+    return cuts, before[cuts] + ttl
+
+
+def _remembered(values: np.ndarray, start: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running totals of ``values`` from ``start`` that begin anew at every cut, and those let go there."""
+    totals = start + np.cumsum(values)
+    anew = np.append(0, (totals - values)[cuts])
+    kept = totals - anew[np.searchsorted(cuts, np.arange(len(values)), side="right")]
+    return kept, np.append(start, kept)[cuts]
+
+
+def _with_expired(key: str, cuts: np.ndarray, names: list[str], *columns: tuple) -> pd.DataFrame:
+    """All rows of a key in one frame, with those of what expired at the ``cuts``. ``columns`` are
+    (values of its windows, values of the expired rows), in the order of ``names`` after key,
+    window_end and event."""
+    (ends, expired), rest = columns[0], columns[1:]
+    merged = [np.insert(values, cuts, gone) for values, gone in ((ends, expired), (np.full(len(ends), "seen", object), "expired"), *rest)]
+    return pd.DataFrame(dict(zip(names, [key, *merged], strict=True)))
 
 
 def _expire_later(state: GroupState, last: int, ttl: int) -> None:
@@ -48,19 +71,16 @@ def _history(ttl: int):
             state.remove()
             yield gone(key[0], last + ttl, seen, total)
             return
-        for expired, rows in _episodes(_ordered(frames), last, ttl):
-            if expired is not None:
-                yield gone(key[0], expired, seen, total)
-                seen, total = 0, 0
-            now = rows.flows_now.to_numpy(np.int64)
-            before = seen + np.arange(len(now))
-            mean = (total + np.cumsum(now) - now) / np.maximum(before, 1)
-            yield pd.DataFrame({
-                "ip": key[0], "window_end": rows.window_end, "event": "seen", "windows_before": before,
-                "mean_flows_before": mean, "burst": now / np.maximum(mean, 1.0),
-            })
-            if len(now):
-                seen, total, last = seen + len(now), total + int(now.sum()), int(rows.window_end.iloc[-1])
+        ends, now = _windows(frames)
+        cuts, expired = _silences(ends, last, ttl)
+        count, gone_count = _remembered(np.ones_like(now), seen, cuts)
+        flows, gone_flows = _remembered(now, total, cuts)
+        mean = (flows - now) / np.maximum(count - 1, 1)
+        yield _with_expired(
+            key[0], cuts, HISTORY_NAMES, (ends, expired), (count - 1, gone_count),
+            (mean, gone_flows / np.maximum(gone_count, 1)), (now / np.maximum(mean, 1.0), np.nan),
+        )
+        seen, total, last = int(count[-1]), int(flows[-1]), int(ends[-1])
         state.update((seen, total, last))
         _expire_later(state, last, ttl)
 
@@ -86,9 +106,11 @@ def subnet_of(ip: str) -> str:
 
 
 def _memory(ttl: int, promote_at: int):
+    def tier(flows: np.ndarray) -> np.ndarray:
+        return np.where(flows >= promote_at, "heavy", "tail").astype(object)
+
     def gone(ip: str, at: int, flows: int) -> pd.DataFrame:
-        tier = "heavy" if flows >= promote_at else "tail"
-        return pd.DataFrame([(ip, at, "expired", tier, True, subnet_of(ip), flows, 0)], columns=MEMORY_NAMES)
+        return pd.DataFrame([(ip, at, "expired", tier(flows).item(), True, subnet_of(ip), flows, 0)], columns=MEMORY_NAMES)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
         flows, last = state.get if state.exists else (0, 0)
@@ -96,19 +118,17 @@ def _memory(ttl: int, promote_at: int):
             state.remove()
             yield gone(key[0], last + ttl, flows)
             return
-        for expired, rows in _episodes(_ordered(frames), last, ttl):
-            if expired is not None:
-                yield gone(key[0], expired, flows)
-                flows = 0
-            now = rows.flows_now.to_numpy(np.int64)
-            count = flows + np.cumsum(now)
-            cold = count - now < promote_at  # promotion takes effect from the next window
-            yield pd.DataFrame({
-                "ip": key[0], "window_end": rows.window_end, "event": "seen", "tier": np.where(count >= promote_at, "heavy", "tail"),
-                "cold": cold, "slot": np.where(cold, subnet_of(key[0]), key[0]), "flow_count": count, "flows_now": now,
-            })
-            if len(now):
-                flows, last = int(count[-1]), int(rows.window_end.iloc[-1])
+        ends, now = _windows(frames)
+        cuts, expired = _silences(ends, last, ttl)
+        count, gone_count = _remembered(now, flows, cuts)
+        cold = count - now < promote_at  # promotion takes effect from the next window
+        subnet = subnet_of(key[0])
+        slot = np.where(cold, subnet, key[0]).astype(object)
+        yield _with_expired(
+            key[0], cuts, MEMORY_NAMES, (ends, expired), (tier(count), tier(gone_count)), (cold, True), (slot, subnet),
+            (count, gone_count), (now, 0),
+        )
+        flows, last = int(count[-1]), int(ends[-1])
         state.update((flows, last))
         _expire_later(state, last, ttl)
 
@@ -141,17 +161,15 @@ def _subnet(ttl: int):
         # At most 256 hosts of a /24 have a row in a window.
         hosts = pd.concat([f.groupby("window_end")["flows_now"].agg(["size", "sum"]) for f in frames])
         hosts = hosts.groupby(level=0).sum().reset_index()
-        for expired, rows in _episodes(hosts, last, ttl):
-            if expired is not None:
-                yield gone(key[0], expired, windows, flows)
-                windows, flows = 0, 0
-            now = rows["sum"].to_numpy(np.int64)
-            yield pd.DataFrame({
-                "subnet": key[0], "window_end": rows.window_end, "event": "seen", "cold_hosts": rows["size"], "cold_flows": now,
-                "windows_before": windows + np.arange(len(now)), "flows_before": flows + np.cumsum(now) - now,
-            })
-            if len(now):
-                windows, flows, last = windows + len(now), flows + int(now.sum()), int(rows.window_end.iloc[-1])
+        ends, now = hosts.window_end.to_numpy(np.int64), hosts["sum"].to_numpy(np.int64)
+        cuts, expired = _silences(ends, last, ttl)
+        count, gone_count = _remembered(np.ones_like(now), windows, cuts)
+        total, gone_flows = _remembered(now, flows, cuts)
+        yield _with_expired(
+            key[0], cuts, SUBNET_NAMES, (ends, expired), (hosts["size"].to_numpy(np.int64), 0), (now, 0),
+            (count - 1, gone_count), (total - now, gone_flows),
+        )
+        windows, flows, last = int(count[-1]), int(total[-1]), int(ends[-1])
         state.update((windows, flows, last))
         _expire_later(state, last, ttl)
 

@@ -101,3 +101,36 @@ def test_history_starts_anew_after_its_time_to_live(spark, tmp_path):
         ("10.0.0.1", 780, "expired", 3, 2.0, None), ("10.0.0.2", 60, "seen", 0, 0.0, 5.0), ("10.0.0.2", 660, "expired", 1, 5.0, None),
         ("10.0.0.2", 2000, "seen", 0, 0.0, 1.0), ("10.0.0.2", 2060, "seen", 1, 1.0, 2.0),
     ]
+
+
+@pytest.mark.parametrize("tier", ["_history", "_memory", "_subnet"])
+def test_a_key_that_is_often_silent_has_one_frame(tier):
+    """However often a key expires and returns within a batch, its rows are made at once."""
+    import pandas as pd
+
+    from flowloom.streaming import state
+
+    class Kept:
+        exists, hasTimedOut, value = False, False, None
+
+        def update(self, value):
+            self.value = value
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, at):
+            pass
+
+    step = {"_history": lambda: state._history(100), "_memory": lambda: state._memory(100, 3), "_subnet": lambda: state._subnet(100)}[tier]()
+    ends = [1000, 600, 650, 2000]  # silent before 1000 and before 2000
+    kept = Kept()
+    frames = list(step(("10.0.0.1",), iter([pd.DataFrame({"window_end": ends, "flows_now": [5, 1, 2, 4]})]), kept))
+    assert len(frames) == 1
+    got = frames[0]
+    assert got.window_end.tolist() == [600, 650, 750, 1000, 1100, 2000]
+    assert got.event.tolist() == ["seen", "seen", "expired", "seen", "expired", "seen"]
+    counts = {"_history": "windows_before", "_memory": "flow_count", "_subnet": "flows_before"}[tier]
+    want = {"_history": [0, 1, 2, 0, 1, 0], "_memory": [1, 3, 3, 5, 5, 4], "_subnet": [0, 1, 3, 0, 5, 0]}[tier]
+    assert got[counts].tolist() == want
+    assert kept.value == {"_history": (1, 4, 2000), "_memory": (4, 2000), "_subnet": (1, 4, 2000)}[tier]
