@@ -32,7 +32,7 @@ def staged(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in STAGED:
         path = new_path(spark, name)
-        build(spark, sf).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        build(spark, sf).write.parquet(path)
         STAGED[key] = path
     return spark.read.parquet(STAGED[key])
 
