@@ -155,19 +155,16 @@ wt0 AS (SELECT min(t) AS t0 FROM clean)"""
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Flows with six class probabilities from fixed arithmetic on the keys."""
-    return staged(spark, sf, "scored", _scored)
-
-
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows with six class probabilities from fixed arithmetic on the keys, a view of few columns
+    of the flows: it is not written a second time."""
     def weight(k):
         mixed = (F.col("k1") * (k + 3) + F.col("k2") * 7 + F.col("k3") * (k * 2 + 1)) % 97
         return F.lit(1.0) + mixed + F.when(F.col("y") == k, 60.0).otherwise(0.0)
 
-    rows = windowed(spark, sf).withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(5)), weight))
-    total = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
-    rows = rows.withColumn("ws", total)
-    return rows.withColumn("probs", F.transform("w", lambda x: x / F.col("ws"))).drop("w", "ws")
+    rows = windowed(spark, sf).withColumns({f"_w{k}": weight(k) for k in range(6)})
+    rows = rows.withColumn("ws", sum((F.col(f"_w{k}") for k in range(6)), F.lit(0.0)))
+    probs = F.array(*[F.col(f"_w{k}") / F.col("ws") for k in range(6)])
+    return rows.withColumn("probs", probs).drop("ws", *[f"_w{k}" for k in range(6)])
 
 
 def scored_sql() -> str:
