@@ -7,6 +7,8 @@ added from a table of at most two rows per part. The locally numbered rows are w
 working table first: part bounds come from a sample, and must not change between the passes.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom.workspace import checked_broadcast, materialize
@@ -93,6 +95,57 @@ def _positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return numbered.withColumn(name, F.col("_before") + place).drop("_id", "_part", "_before")
 
 
+def rank_segments(
+    df: DataFrame, keys: list[str], order: list[Column], cuts: Callable[[Column], list[Column]], coarse: Column,
+    name: str = "segment", sized: dict[str, Callable[[Column], Column]] = {},
+) -> DataFrame:
+    """Add ``name``: how many of the cuts of the row's key are at most the row's zero-based rank.
+
+    Ranks are not made: rows per key and coarse value are counted, which says into which coarse
+    value a cut falls, and only rows of such a value are ranked. All others stay where they are.
+    ``cuts`` makes the ranks from the number of rows of a key, and ``sized`` further columns that
+    ``coarse`` may use. ``coarse`` never falls along ``order``; nulls come first. Rows with a null
+    key are left out. ``df`` is read several times."""
+    size = F.col("_size")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = checked_broadcast(counts.withColumns({c: make(size) for c, make in sized.items()}) if sized else counts, "sizes")
+    at = F.col("_at")
+    counts = df.join(sizes, keys).groupBy(*keys, coarse.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(counts, keys, [at], {"_n": F.col("_n")}).join(sizes, keys)
+    first, bounds = F.col("_n_before"), []
+    for i, cut in enumerate(cuts(size)):
+        holds = (first <= cut) & (cut < first + F.col("_n"))
+        bounds += [F.max(F.when(holds, at)).alias(f"_at{i}"), F.max(F.when(holds, cut - first)).alias(f"_in{i}")]
+    found = placed.groupBy(*keys).agg(*[F.first(c).alias(c) for c in sized], *bounds)
+    # of each cut: is the coarse value before its own, is it its own, and how many rows of that come before it
+    sides = []
+    for i in range(len(bounds) // 2):
+        bound, inside = F.col(f"_at{i}"), F.col(f"_in{i}")
+        before = inside.isNull() | F.coalesce(at < bound, at.isNull() & bound.isNotNull())  # null: no row is behind the cut
+        sides.append((before, at.eqNullSafe(bound) & (F.coalesce(inside, F.lit(0)) > 0), inside))
+    cut_through = F.lit(False)
+    for _, same, _ in sides:
+        cut_through = cut_through | same
+    passed = lambda tests: sum((F.when(x, 0).otherwise(1) for x in tests), F.lit(0)).alias(name)
+    rows = df.join(checked_broadcast(found, "rank-bounds"), keys).withColumn("_at", coarse)
+    whole = rows.where(~cut_through).select(*df.columns, passed(before for before, _, _ in sides))
+    ranked = row_ranks(rows.where(cut_through), [*keys, "_at"], order, "_place")
+    return whole.unionByName(ranked.select(*df.columns, passed(
+        before | (same & (F.col("_place") < inside)) for before, same, inside in sides
+    )))
+
+
+def hash_segments(
+    df: DataFrame, keys: list[str], tie: list[str], seed: int, cuts: Callable[[Column], list[Column]], name: str = "segment",
+) -> DataFrame:
+    """``rank_segments`` in a seeded hash order: leading bits of the hash, about as many values of
+    them as the square root of a key's rows."""
+    mark = F.xxhash64(*tie, F.lit(seed))
+    shift = lambda n: (64 - F.greatest(F.ceil(F.log2(n) / 2), F.lit(1))).cast("int")
+    leading = F.call_function("shiftright", mark, F.col("_shift"))
+    return rank_segments(df, keys, [mark, *[F.col(c) for c in tie]], cuts, leading, name, {"_shift": shift})
+
+
 SKETCH = 20_000  # a sketched quantile is off by at most one in so many ranks
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.operators.ordered import row_ranks
+from flowloom.operators.ordered import hash_segments, row_ranks
 from flowloom.workspace import checked_broadcast
 
 
@@ -14,18 +14,16 @@ def row_windows(df: DataFrame, order: list[Column], size: int) -> DataFrame:
 
 def stratified_halves(df: DataFrame, label: str, tie: list[str], check_frac: float, seed: int = 0) -> DataFrame:
     """Adds ``part`` (fit / check): an exact share of each class in hash order."""
-    sizes = checked_broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
-    ranked = row_ranks(df, [label], [F.xxhash64(*tie, F.lit(seed)), *[F.col(c) for c in tie]], "_rank")
-    cut = F.greatest(F.lit(1), F.bround(F.col("_n") * (1.0 - check_frac), 0).cast("bigint"))
-    part = F.when(F.col("_rank") < cut, "fit").otherwise("check")
-    return ranked.join(sizes, label).select(*df.columns, part.alias("part"))
+    kept = lambda n: [F.greatest(F.lit(1), F.bround(n * (1.0 - check_frac), 0).cast("bigint"))]
+    halves = hash_segments(df, [label], tie, seed, kept, "_half")
+    part = F.when(F.col("_half") == 0, "fit").otherwise("check")
+    return halves.select(*df.columns, part.alias("part"))
 
 
 def edge_mask(df: DataFrame, rate: float, keys: list[str], tie: list[str], seed: int = 0) -> DataFrame:
     """Adds ``masked``: the first ``floor(rate * n)`` edges of each window in hash order."""
-    sizes = checked_broadcast(df.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) * rate).alias("_cut")), "mask-cuts")
-    ranked = row_ranks(df, keys, [F.xxhash64(*tie, F.lit(seed)), *[F.col(c) for c in tie]], "_rank")
-    return ranked.join(sizes, keys).select(*df.columns, (F.col("_rank") < F.col("_cut")).alias("masked"))
+    chosen = hash_segments(df, keys, tie, seed, lambda n: [F.floor(n * rate)], "_side")
+    return chosen.select(*df.columns, (F.col("_side") == 0).alias("masked"))
 
 
 def best_runs(windows: DataFrame, keys: list[str], budget: int) -> DataFrame:
