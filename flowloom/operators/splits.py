@@ -10,9 +10,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.operators.ordered import exact_percentiles, row_ranks, running_totals
+from flowloom.operators.ordered import exact_percentiles, rank_segments, row_ranks, running_totals
 from flowloom.settings import SplitOptions
-from flowloom.workspace import checked_broadcast
 
 FAR = (1 << 62)
 
@@ -230,13 +229,13 @@ def split_attack_holdout(df, held_labels: list[str], options: SplitOptions, labe
 
 
 def split_per_file(df, options: SplitOptions, order: list[Column], file="source_file"):
-    """Chronological fractions inside every source file, by exact rank."""
-    sizes = checked_broadcast(df.groupBy(file).agg(F.count(F.lit(1)).alias("_n")), "file-sizes")
-    ranked = row_ranks(df, [file], order, "_rank").join(sizes, file)
-    n_train = (F.col("_n") * options.train_frac).cast("bigint")
-    n_both = (F.col("_n") * (options.train_frac + options.val_frac)).cast("bigint")
-    side = F.when(F.col("_rank") < n_train, "train").when(F.col("_rank") < n_both, "val").otherwise("test")
-    return ranked.select(*df.columns, side.alias("split"))
+    """Chronological fractions inside every source file, by exact rank. ``order`` rises, and
+    its first column is the time."""
+    shares = (options.train_frac, options.train_frac + options.val_frac)
+    cuts = lambda n: [(n * share).cast("bigint") for share in shares]
+    placed = rank_segments(df, [file], order, cuts, order[0], "_side")
+    side = F.when(F.col("_side") == 0, "train").when(F.col("_side") == 1, "val").otherwise("test")
+    return placed.select(*df.columns, side.alias("split"))
 
 
 def split_flows(df: DataFrame, strategy: str, tie: list[str], options: SplitOptions = SplitOptions(), *,
