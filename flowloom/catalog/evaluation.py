@@ -333,7 +333,7 @@ def _(spark, sf):
     from flowloom.operators.sampling import stratified_halves
     s = stratified_halves(rated(spark, sf).select(*TIE, "y", "probs"), "y", TIE, 0.4)
     from flowloom.workspace import materialize
-    s = materialize(s, "halves")
+    s = materialize(s.select("y", "probs", "part"), "halves", ["part"])
     offsets = metrics.fit_class_offsets(s, 6)
     check = s.where("part = 'check'").withColumn("pred", scoring.adjusted_argmax(F.col("probs"), F.array(*[F.lit(x) for x in offsets])))
     return metrics.class_metrics(metrics.confusion(check)).withColumn("offset", F.get(F.array(*[F.lit(x) for x in offsets]), F.col("class")))

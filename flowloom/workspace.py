@@ -29,11 +29,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of what was written."""
+def materialize(df: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
+    """Write ``df`` once and return a scan of what was written, in a folder for each value of
+    ``by`` (the last columns)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
